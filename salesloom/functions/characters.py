@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,20 +19,30 @@ _EXTRA_DIGITS = (
 _DIGITS = r"\p{Nd}" + "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in _EXTRA_DIGITS)
 _SPACES = r"\t-\r\x1c-\x20\x{85}\p{Z}"
 
+# Runs of everything but one kind of character. The first alternative takes common
+# characters by plain ranges before the costly Unicode classes are asked.
+_NO_LETTERS = r"\P{L}+"
+_NO_DIGITS = rf"[\x00-/:-\x{{B1}}\x{{C0}}-\x{{17F}}]+|[^{_DIGITS}]+"
+_NO_SPACES = rf"[!-\x{{84}}\x{{A1}}-\x{{167F}}]+|[^{_SPACES}]+"
 
-def _kept(col: Column, char_class: str) -> Column:
-    # One pass over the text that keeps only the class; runs of other characters go at
-    # once, so no array of matches is built per row.
-    return F.length(F.regexp_replace(col, f"[^{char_class}]+", ""))
-
+_ASCII_LETTERS = string.ascii_letters
+_ASCII_SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f "
 
-def letters(col: Column) -> Column:
-    return _kept(col, r"\p{L}")
 
+def letter_digit_space_counts(text: Column) -> tuple[Column, Column, Column]:
+    """Number of letters, digits and white space characters of a text.
 
-def digits(col: Column) -> Column:
-    return _kept(col, _DIGITS)
+    ASCII characters are counted by what is left when they are deleted; only the rest
+    (punctuation and other scripts) goes through regular expressions. The three counts
+    share their intermediate texts, which are evaluated once per row.
+    """
+    no_letters = F.translate(text, _ASCII_LETTERS, "")
+    no_digits = F.translate(no_letters, string.digits, "")
+    rest = F.translate(no_digits, _ASCII_SPACES, "")
 
+    def count(before: Column, after: Column, others: str) -> Column:
+        return (F.length(before) - F.length(after)
+                + F.length(F.regexp_replace(rest, others, "")))
 
-def spaces(col: Column) -> Column:
-    return _kept(col, _SPACES)
+    return (count(text, no_letters, _NO_LETTERS), count(no_letters, no_digits, _NO_DIGITS),
+            count(no_digits, rest, _NO_SPACES))

@@ -48,7 +48,7 @@ def date_text(col: Column) -> Column:
 def timestamp_text(col: Column, separator: str = " ") -> Column:
     """``2024-03-31 12:00:00``; microseconds (six digits) only when not zero."""
     text = col.cast("timestamp_ntz").cast("string")
-    text = F.when(text.contains("."), F.rpad(text, 26, "0")).otherwise(text)
+    text = F.when(F.length(text) > 19, F.rpad(text, 26, "0")).otherwise(text)
     return text if separator == " " else F.replace(text, F.lit(" "), F.lit(separator))
 
 

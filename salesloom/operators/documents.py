@@ -33,17 +33,19 @@ def documents(tx: DataFrame, id_col: str) -> DataFrame:
     date = iso_timestamp(F.col("date"))
     named = {c: _optional(tx, c) for c in ("category", "product", "customer_id", "channel")}
 
-    def part(prefix: str, value: Column) -> Column:
-        return F.when(F.length(value) > 0, F.concat(F.lit(prefix), value))
-
-    # concat_ws leaves NULL parts out.
-    parts = F.concat_ws(
-        ", ", part("on ", date), part("in category ", named["category"]),
-        part("for product ", named["product"]), part("with amount ", float_text(amount)),
-        part("for customer ", named["customer_id"]), part("via channel ", named["channel"]))
-    text = F.concat(F.lit("Transaction "), txn_id,
-                    F.when(F.length(parts) > 0, F.concat(F.lit(" "), parts))
-                    .otherwise(F.lit("")), F.lit("."))
+    filled = [F.nullif(v, F.lit("")) for v in named.values()]
+    prefixes = ("in category ", "for product ", "for customer ", "via channel ")
+    category, product, customer, channel = (
+        F.concat(F.lit(prefix), v) for prefix, v in zip(prefixes, filled))
+    # concat is NULL for a missing value, and concat_ws leaves NULL parts out.
+    parts = F.concat_ws(", ", F.concat(F.lit("on "), date), category, product,
+                        F.concat(F.lit("with amount "), float_text(amount)), customer, channel)
+    head = F.concat(F.lit("Transaction "), txn_id)
+    described = F.col("date").isNotNull() | amount.isNotNull()
+    for value in filled:
+        described = described | value.isNotNull()
+    text = F.when(described, F.concat(head, F.lit(" "), parts, F.lit("."))).otherwise(
+        F.concat(head, F.lit(".")))
     metadata = F.struct(
         txn_id.alias("transaction_id"), F.coalesce(date, F.lit("")).alias("date"),
         amount.alias("amount"), *[v.alias(k) for k, v in named.items()],
@@ -55,9 +57,8 @@ def documents(tx: DataFrame, id_col: str) -> DataFrame:
 def local_embedding(text: Column) -> Column:
     """``[characters, letters, digits, white space]`` of a text; no model, no UDF."""
     text = F.coalesce(text, F.lit(""))
-    return F.array(*[c.cast("double") for c in (
-        F.length(text), characters.letters(text), characters.digits(text),
-        characters.spaces(text))])
+    counts = characters.letter_digit_space_counts(text)
+    return F.array(*[c.cast("double") for c in (F.length(text), *counts)])
 
 
 EmbedBatch = Callable[[pd.Series], list[list[float]]]

@@ -287,7 +287,8 @@ def anomaly_from(measured: DataFrame, lookback_days: int = 30, sigma: float = 2.
     # Days without sales are zeros of the history: m days with data, n - m zeros. Mean
     # and variance of both parts are merged instead of generating the empty days.
     n, m = F.col("n"), F.col("m")
-    mean = m * F.col("m_mean") / n
+    # (No empty days: the mean is taken as it is, so constant history has a spread of 0.)
+    mean = F.when(m == n, F.col("m_mean")).otherwise(m * F.col("m_mean") / n)
     shift = F.col("m_mean") - mean
     variance = (m * (F.col("m_var") + shift * shift) + (n - m) * mean * mean) / n
     enough = F.coalesce(n >= MIN_HISTORY_DAYS, F.lit(False))

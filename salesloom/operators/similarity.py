@@ -136,9 +136,11 @@ def _score_blocks(best: _Best, queries: tuple[np.ndarray, np.ndarray],
 # ---------------------------------------------------------------------------
 
 
-def _bounded(df: DataFrame, max_rows: int, max_bytes: int) -> pa.Table | None:
-    """All rows of ``df`` if they are proven to fit, else ``None``."""
-    probe = df.select(F.size("embedding").alias("n")).first()
+def _bounded(df: DataFrame, sample: DataFrame, max_rows: int, max_bytes: int
+             ) -> pa.Table | None:
+    """All rows of ``df`` if they are proven to fit, else ``None``. ``sample`` has vectors
+    of the same length and gives a first row without much work."""
+    probe = sample.select(F.size("embedding").alias("n")).first()
     if probe is None:
         return df.limit(0).toArrow()
     rows = max(1, min(max_rows, max_bytes // (8 * max(1, probe.n) + 64)))
@@ -205,10 +207,13 @@ def _block_against_block(queries: DataFrame, keys: Sequence[str], index: DataFra
         return F.explode(F.sequence(first, last))
 
     # Blocks come from a hash of the row key, so they are even however skewed the data is.
-    left = (index.withColumn("i", F.pmod(F.xxhash64("pos", "id"), F.lit(index_blocks)))
-            .withColumn("q", numbered(query_blocks)))
-    right = (queries.withColumn("q", F.pmod(F.xxhash64(*keys), F.lit(query_blocks)))
-             .withColumn("i", numbered(index_blocks)))
+    pair = ["_index_block", "_query_block"]
+    left = index.select(
+        "*", F.pmod(F.xxhash64("pos", "id"), F.lit(index_blocks)).alias(pair[0]),
+        numbered(query_blocks).alias(pair[1]))
+    right = queries.select(
+        "*", F.pmod(F.xxhash64(*keys), F.lit(query_blocks)).alias(pair[1]),
+        numbered(index_blocks).alias(pair[0]))
 
     def run(block: pa.Table, asked: pa.Table) -> pa.Table:
         best = _Best(asked.num_rows, k)
@@ -216,7 +221,7 @@ def _block_against_block(queries: DataFrame, keys: Sequence[str], index: DataFra
             _score_blocks(best, _matrix(asked.column("embedding")), block, metric)
         return best.table(asked.select(list(keys)))
 
-    partial = (left.groupBy("i", "q").cogroup(right.groupBy("i", "q"))
+    partial = (left.groupBy(*pair).cogroup(right.groupBy(*pair))
                .applyInArrow(run, _output(queries.select(*keys))))
     return _merge(partial, keys, k)
 
@@ -253,11 +258,11 @@ def top_k(index: DataFrame, queries: DataFrame, k: int | None = 5, metric: str =
         return _with_carried(queries.sparkSession.createDataFrame(
             [], _output(queries.select(*keys))), index, carry)
     candidates = first_of_equal(vectors, k) if many_equal else vectors
-    small_index = _bounded(candidates, broadcast_rows, broadcast_bytes)
+    small_index = _bounded(candidates, vectors, broadcast_rows, broadcast_bytes)
     if small_index is not None:
         matches = _queries_past_index(queries, keys, small_index, k, metric)
         return _with_carried(matches, index, carry, small_index.select(["id"]))
-    small_queries = _bounded(queries, broadcast_rows, broadcast_bytes)
+    small_queries = _bounded(queries, queries, broadcast_rows, broadcast_bytes)
     if small_queries is not None:
         matches = _index_past_queries(small_queries, queries.select(*keys), keys, candidates,
                                       k, metric)
