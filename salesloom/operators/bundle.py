@@ -73,8 +73,8 @@ def build_metrics_bundle(tx: DataFrame, granularity: str = "month", top_n: int |
     types = [s for s in kpi.segment_types(tx) if s not in by]
     base = _one_pass(tx, by, types).persist(StorageLevel.MEMORY_AND_DISK)
     has_cost = ["cost"] if "cost" in tx.columns else []
-    daily = base.where(F.col("kind") == "day").select(
-        *by, "day", "revenue", *has_cost, "n_rows", "date_min", "date_max")
+    daily = kpi.gathered(base.where(F.col("kind") == "day").select(
+        *by, "day", "revenue", *has_cost, "n_rows", "date_min", "date_max"), by)
     if types:
         value = F.coalesce(*[F.col(s).cast("string") for s in types])
     else:

@@ -16,15 +16,23 @@ def latest_per_id(rows: DataFrame) -> DataFrame:
     return merged.select("id", "pos", "content.*").select(*rows.columns)
 
 
-def upsert(current: DataFrame, new: DataFrame) -> DataFrame:
+def at_most(df: DataFrame, rows: int) -> bool:
+    """Whether ``df`` is proven to have no more than ``rows`` rows. The job stops early and
+    fetches no data."""
+    return len(df.select(F.lit(1)).limit(rows + 1).collect()) <= rows
+
+
+def upsert(current: DataFrame, new: DataFrame, broadcast_rows: int = 200_000) -> DataFrame:
     """``current`` with ``new`` merged in: last write wins, known ids keep their place.
 
     New ids are placed behind everything there is. The large current table is only
-    filtered and passed on: neither join needs to shuffle it while the batch of new rows
-    is small enough for the optimizer to broadcast.
+    filtered and passed on: a batch of at most ``broadcast_rows`` ids is broadcast to it,
+    so that it is not shuffled; a larger one is joined by sorting both sides.
     """
     new = latest_per_id(new.select(*current.columns))
     new_ids = new.select("id")
+    if at_most(new_ids, broadcast_rows):
+        new_ids = F.broadcast(new_ids)
     kept = current.join(new_ids, "id", "left_anti")
     places = (current.select("id", "pos").join(new_ids, "id", "left_semi")
               .withColumnRenamed("pos", "known_pos"))

@@ -19,6 +19,15 @@ SEGMENTS = ("category", "product", "customer_id", "channel")
 MIN_HISTORY_DAYS = 5
 
 
+def gathered(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Bring each ``by`` group together once, so that all that follows needs no shuffle.
+
+    Only for rows whose number per group is bounded: days of a calendar, or the best few
+    of a fixed number of buckets.
+    """
+    return df.repartition(*by) if by else df.repartition(1)
+
+
 def require_columns(tx: DataFrame, *names: str) -> None:
     missing = [n for n in names if n not in tx.columns]
     if missing:
@@ -188,7 +197,7 @@ def rank_segments(values: DataFrame, top_n: int, by: Sequence[str] = (),
     )
     overall = Window.partitionBy(*group)
     ranked = (
-        best.withColumn("total", F.sum(F.when(F.col("place") == 1, F.col("bucket_revenue")))
+        gathered(best, by).withColumn("total", F.sum(F.when(F.col("place") == 1, F.col("bucket_revenue")))
                         .over(overall))
         .withColumn("rank", F.row_number().over(overall.orderBy(*order)))
         .where(F.col("rank") <= top_n)
@@ -198,11 +207,17 @@ def rank_segments(values: DataFrame, top_n: int, by: Sequence[str] = (),
         _share(F.col("revenue"), F.col("total")).alias("revenue_share_pct"))
 
 
-def all_segments(values: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Every value with its share; the total per type is a tiny table joined back."""
+def all_segments(values: DataFrame, by: Sequence[str] = (),
+                 one_type: bool = False) -> DataFrame:
+    """Every value with its share. The total per type is a tiny table joined back, or a
+    scalar where there is only one."""
     group = [*by, "segment_type"]
-    total = values.groupBy(*group).agg(F.sum("revenue").alias("total"))
-    joined = null_safe_join(values, total, group)
+    if one_type and not by:
+        total = values.agg(F.sum("revenue").alias("total")).scalar()
+        joined = values.withColumn("total", total)
+    else:
+        totals = values.groupBy(*group).agg(F.sum("revenue").alias("total"))
+        joined = null_safe_join(values, totals, group)
     return joined.select(
         *group, "segment_value", "revenue", *_profit_columns(values), "order_count",
         _share(F.col("revenue"), F.col("total")).alias("revenue_share_pct"))
@@ -213,7 +228,7 @@ def segment_revenue(tx: DataFrame, segment: str, top_n: int | None = 5,
     """Revenue per value of ``segment``; ``top_n=None`` keeps every value."""
     values = segment_values(tx, segment, by)
     if top_n is None:
-        return all_segments(values, by)
+        return all_segments(values, by, one_type=True)
     return rank_segments(values, top_n, by)
 
 

@@ -9,8 +9,8 @@ matrix product), and a task only hands on the best ``k`` per query:
   merged afterwards;
 * many of both: both sides are cut into hash blocks and every pair of blocks is one task.
 
-The first two need a proven bound (``broadcast_rows``, ``broadcast_bytes``); a bounded
-``limit`` job measures it. All three give the same rows.
+The first two need a proven bound (``broadcast_rows``, ``broadcast_bytes``); a job that
+stops early at the bound proves it. All three give the same rows.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from .index import at_most
+
 BROADCAST_ROWS = 50_000
 BROADCAST_BYTES = 64 << 20
 BLOCK_CELLS = 4_000_000  # scores held at once by a task
@@ -136,17 +138,16 @@ def _score_blocks(best: _Best, queries: tuple[np.ndarray, np.ndarray],
 # ---------------------------------------------------------------------------
 
 
-def _bounded(df: DataFrame, sample: DataFrame, max_rows: int, max_bytes: int
-             ) -> pa.Table | None:
-    """All rows of ``df`` if they are proven to fit, else ``None``. ``sample`` has vectors
-    of the same length and gives a first row without much work."""
+def _row_bound(sample: DataFrame, max_rows: int, max_bytes: int) -> int:
+    """Rows whose vectors fit into ``max_bytes``, judged by the length of a first one."""
     probe = sample.select(F.size("embedding").alias("n")).first()
-    if probe is None:
-        return df.limit(0).toArrow()
-    rows = max(1, min(max_rows, max_bytes // (8 * max(1, probe.n) + 64)))
-    taken = df.limit(rows + 1).toArrow()
-    fits = taken.num_rows <= rows and taken.nbytes <= 2 * max_bytes
-    return taken.combine_chunks() if fits else None
+    width = max(1, probe.n) if probe else 1
+    return max(1, min(max_rows, max_bytes // (8 * width + 64)))
+
+
+def _bounded(df: DataFrame, bound: int) -> pa.Table | None:
+    """All rows of ``df`` if there are no more than ``bound``, else ``None``."""
+    return df.toArrow().combine_chunks() if at_most(df, bound) else None
 
 
 def _output(keys: DataFrame) -> T.StructType:
@@ -200,7 +201,8 @@ def _index_past_queries(queries: pa.Table, query_keys: DataFrame, keys: Sequence
 def _block_against_block(queries: DataFrame, keys: Sequence[str], index: DataFrame, k: int,
                          metric: str, block_rows: int) -> DataFrame:
     index_blocks = index.count() // block_rows + 1
-    query_blocks = queries.count() // block_rows + 1
+    # Every query block is one more copy of the index, so query blocks are larger.
+    query_blocks = queries.count() // (4 * block_rows) + 1
 
     def numbered(n: int) -> Column:
         first, last = (F.lit(i).cast("bigint") for i in (0, n - 1))
@@ -239,7 +241,7 @@ def first_of_equal(index: DataFrame, k: int) -> DataFrame:
 def top_k(index: DataFrame, queries: DataFrame, k: int | None = 5, metric: str = "cosine",
           carry: Sequence[str] = (), many_equal: bool = False,
           broadcast_rows: int = BROADCAST_ROWS, broadcast_bytes: int = BROADCAST_BYTES,
-          block_rows: int = 20_000) -> DataFrame:
+          block_rows: int = 50_000) -> DataFrame:
     """Best ``k`` index rows per query: ``<query columns>, rank, id, pos, score[, carry]``.
 
     ``index`` has ``id, pos, embedding``; ``queries`` has ``embedding`` and key columns
@@ -258,16 +260,22 @@ def top_k(index: DataFrame, queries: DataFrame, k: int | None = 5, metric: str =
         return _with_carried(queries.sparkSession.createDataFrame(
             [], _output(queries.select(*keys))), index, carry)
     candidates = first_of_equal(vectors, k) if many_equal else vectors
-    small_index = _bounded(candidates, vectors, broadcast_rows, broadcast_bytes)
+    bound = _row_bound(vectors, broadcast_rows, broadcast_bytes)
+    if many_equal:
+        candidates.persist()  # counted, then fetched
+    small_index = _bounded(candidates, bound)
+    if many_equal:
+        candidates.unpersist()
     if small_index is not None:
         matches = _queries_past_index(queries, keys, small_index, k, metric)
         return _with_carried(matches, index, carry, small_index.select(["id"]))
-    small_queries = _bounded(queries, queries, broadcast_rows, broadcast_bytes)
+    small_queries = _bounded(queries, bound)
     if small_queries is not None:
         matches = _index_past_queries(small_queries, queries.select(*keys), keys, candidates,
                                       k, metric)
-    else:
-        matches = _block_against_block(queries, keys, candidates, k, metric, block_rows)
+        # At most k rows for each of the few queries.
+        return _with_carried(F.broadcast(matches), index, carry)
+    matches = _block_against_block(queries, keys, candidates, k, metric, block_rows)
     return _with_carried(matches, index, carry)
 
 

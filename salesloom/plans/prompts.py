@@ -189,7 +189,10 @@ def report_prompts(bundle: MetricsBundle, language: str = "en", hybrid: bool = F
         asked = prompts.select(*keys, context.report_query().alias("query"))
         rows = retrieved_rows(search(asked, index, "query", keys, provider=provider))
         blocks = context_block(rows, keys, language, "report", marker=max_chars is not None)
-        prompts, block = null_safe_join(prompts, blocks, keys), F.col("block")
+        if not bundle.by:
+            blocks = blocks.drop("report")
+        prompts = attach(prompts, blocks, bundle.by, "found")
+        block = F.col("found.block")
     user = with_block(report_prompt(row, bundle.segment_types, language, hybrid), block,
                       max_chars)
     return prompts.select(*bundle.by,

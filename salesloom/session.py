@@ -21,6 +21,10 @@ def build_session(app_name: str = "salesloom", master: str | None = None,
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # A report is many small generated classes; keep them for the next one.
+        .config("spark.sql.codegen.cache.maxEntries", "1000")
+        # Call-site capture costs several driver round trips per Column expression.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     if master:
         builder = builder.master(master)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from pathlib import PurePosixPath
 
 from pyspark.errors import AnalysisException
@@ -61,10 +62,12 @@ def write_metrics(metrics: DataFrame, path: str) -> None:
     metrics.write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
-def write_report(lines: DataFrame, path: str) -> None:
-    """Report rows ``(line_no, text)`` as one text file; a report is a few dozen lines."""
-    (lines.coalesce(1).sortWithinPartitions("line_no").select("text")
-     .write.mode("overwrite").text(path))
+def write_report(lines: DataFrame, path: str, by: Sequence[str] = ()) -> None:
+    """Report rows ``(by, line_no, text)`` as text: one file, or one folder per group."""
+    grouped = lines.repartition(*by) if by else lines.repartition(1)
+    writer = (grouped.sortWithinPartitions(*by, "line_no").select(*by, "text")
+              .write.mode("overwrite"))
+    (writer.partitionBy(*by) if by else writer).text(path)
 
 
 def preview(clean: DataFrame, rows: int = 5) -> DataFrame:

@@ -157,3 +157,14 @@ def test_grouped_reports(sales_frame):
     for region, text in texts.items():
         with build_metrics_bundle(tx.where(tx.region == region).drop("region")) as alone:
             assert report.report_text(alone).first().report == text
+
+
+def test_grouped_report_sink(sales_frame, tmp_path):
+    rows = [(d, a, c, k, "n" if i % 2 else "s") for i, (d, a, c, k, _) in enumerate(ROWS * 2)]
+    tx = sales_frame(rows, COLUMNS.replace("customer_id", "region"))
+    with build_metrics_bundle(tx, by=["region"]) as found:
+        files.write_report(report.full_report(found), str(tmp_path / "r"), ["region"])
+        expected = {r.region: r.report for r in report.report_text(found).collect()}
+    for region, text in expected.items():
+        parts = list((tmp_path / "r" / f"region={region}").glob("*.txt"))
+        assert [p.read_text() for p in parts] == [text + "\n"]

@@ -13,7 +13,7 @@ from salesloom.sources.index_table import cache_index, read_index, write_index
 from salesloom.streaming.index_stream import upsert_stream
 
 PLANS = {"broadcast index": {}, "broadcast queries": {"broadcast_rows": 30},
-         "blocks": {"broadcast_rows": 1, "block_rows": 20}}
+         "blocks": {"broadcast_rows": 1, "block_rows": 5}}
 
 
 def cosine(a, b):
