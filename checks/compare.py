@@ -7,10 +7,11 @@ from __future__ import annotations
 
 import sys
 import time
+from collections.abc import Callable
 from pathlib import Path
 
 import duckdb
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from checks.oracle import ORACLE_SQL
 from checks.queries import QUERIES
@@ -31,9 +32,12 @@ def canonical(names: list[str], rows: list[tuple]) -> list[tuple]:
 
 
 def differences(spark: SparkSession, connection: duckdb.DuckDBPyConnection, folder: str,
-                name: str) -> tuple[list[str], int]:
-    """(findings, rows of the Spark result)."""
+                name: str, inspect: Callable[[DataFrame], None] | None = None
+                ) -> tuple[list[str], int]:
+    """(findings, rows of the Spark result). ``inspect`` sees the query before it runs."""
     df = QUERIES[name](spark, folder)
+    if inspect:
+        inspect(df)
     ours = canonical(df.columns, [tuple(r) for r in df.collect()])
     cursor = connection.execute(ORACLE_SQL[name])
     columns = [d[0] for d in cursor.description]

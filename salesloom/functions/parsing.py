@@ -43,9 +43,10 @@ def parse_number(col: Column, dtype: T.DataType) -> Column:
         value = col.cast("double")
         return F.when(~F.isnan(value), value)
     text = F.lower(F.btrim(col, F.lit(" \t\n\r\f\x0b")))
-    value = text.try_cast("double")
+    # No match extracts "", which casts to NULL; text is parsed where it is matched.
+    value = F.regexp_extract(text, NUMBER_PATTERN, 0).try_cast("double")
     overflow = F.abs(value) == F.lit(float("inf"))
-    return F.when(text.rlike(NUMBER_PATTERN) & (~overflow | text.contains("inf")), value)
+    return F.when(~overflow | text.contains("inf"), value)
 
 
 def date_format_parts(date_format: str) -> tuple[str, str]:
@@ -76,6 +77,7 @@ def parse_date(col: Column, dtype: T.DataType, date_format: str | None) -> Colum
         return col.try_cast("timestamp_ntz")
     pattern, guard = date_format_parts(date_format)
     has_time = any(f"%{c}" in date_format for c in "HMS")
-    parsed = (F.try_to_timestamp(col, F.lit(pattern)) if has_time
-              else F.try_to_date(col, pattern))
-    return F.when(col.rlike(guard), parsed.cast("timestamp_ntz"))
+    text = F.regexp_extract(col, guard, 0)
+    parsed = (F.try_to_timestamp(text, F.lit(pattern)) if has_time
+              else F.try_to_date(text, pattern))
+    return parsed.cast("timestamp_ntz")

@@ -55,12 +55,8 @@ def _count(condition: Column) -> Column:
     return F.count_if(condition).cast("bigint")
 
 
-def validation_report(raw: DataFrame, columns: Mapping[str, str | None] = DEFAULT_COLUMNS,
-                      date_format: str | None = DEFAULT_DATE_FORMAT) -> DataFrame:
-    """One row: table shape and the number of values that do not parse.
-
-    A value that was missing already does not count as invalid.
-    """
+def _validation_columns(raw: DataFrame, columns: Mapping[str, str | None],
+                        date_format: str | None) -> list[Column]:
     found = present_columns(raw, columns)
 
     def invalid(field: str) -> Column:
@@ -70,14 +66,55 @@ def validation_report(raw: DataFrame, columns: Mapping[str, str | None] = DEFAUL
         return _count(before.isNotNull()
                       & _parsed(raw, found[field], field, date_format).isNull())
 
-    return raw.agg(
+    return [
         F.count(F.lit(1)).alias("n_rows"),
         F.lit(len(raw.columns)).cast("bigint").alias("n_columns"),
         F.array().cast("array<string>").alias("missing_required_columns"),
         invalid("date").alias("invalid_dates"),
         invalid("amount").alias("invalid_amounts"),
         invalid("cost").alias("invalid_costs"),
-    )
+    ]
+
+
+def _summary_columns(raw: DataFrame, columns: Mapping[str, str | None],
+                     date_format: str | None, parse_dates: bool) -> list[Column]:
+    found = present_columns(raw, columns)
+    date, amount = (_parsed(raw, found[f], f, date_format, parse_dates) for f in REQUIRED)
+    kept = date.isNotNull() & amount.isNotNull()
+    return [
+        F.count(F.lit(1)).alias("original_rows"),
+        _count(kept).alias("clean_rows"),
+        _count(~kept).alias("dropped_rows"),
+        iso_timestamp(F.min(F.when(kept, date))).alias("date_min"),
+        iso_timestamp(F.max(F.when(kept, date))).alias("date_max"),
+    ]
+
+
+def validation_report(raw: DataFrame, columns: Mapping[str, str | None] = DEFAULT_COLUMNS,
+                      date_format: str | None = DEFAULT_DATE_FORMAT) -> DataFrame:
+    """One row: table shape and the number of values that do not parse.
+
+    A value that was missing already does not count as invalid.
+    """
+    return raw.agg(*_validation_columns(raw, columns, date_format))
+
+
+def cleaning_summary(raw: DataFrame, columns: Mapping[str, str | None] = DEFAULT_COLUMNS,
+                     date_format: str | None = DEFAULT_DATE_FORMAT,
+                     parse_dates: bool = True) -> DataFrame:
+    """One row: rows in, rows kept, rows dropped, first and last kept date (ISO text)."""
+    return raw.agg(*_summary_columns(raw, columns, date_format, parse_dates))
+
+
+def quality_report(raw: DataFrame, columns: Mapping[str, str | None] = DEFAULT_COLUMNS,
+                   date_format: str | None = DEFAULT_DATE_FORMAT,
+                   parse_dates: bool = True) -> DataFrame:
+    """Validation report and cleaning summary as structs of one row, in one pass."""
+    checks = _validation_columns(raw, columns, date_format)
+    kept = _summary_columns(raw, columns, date_format, parse_dates)
+    row = raw.agg(*checks, *kept)
+    return row.select(F.struct(*row.columns[:len(checks)]).alias("validation"),
+                      F.struct(*row.columns[len(checks):]).alias("cleaning"))
 
 
 def rename_and_parse(raw: DataFrame, columns: Mapping[str, str | None] = DEFAULT_COLUMNS,
@@ -99,19 +136,3 @@ def clean_transactions(raw: DataFrame, columns: Mapping[str, str | None] = DEFAU
     """Rows with a usable date and amount; an unusable cost only becomes NULL."""
     parsed = rename_and_parse(raw, columns, date_format, parse_dates)
     return parsed.where(F.col("date").isNotNull() & F.col("amount").isNotNull())
-
-
-def cleaning_summary(raw: DataFrame, columns: Mapping[str, str | None] = DEFAULT_COLUMNS,
-                     date_format: str | None = DEFAULT_DATE_FORMAT,
-                     parse_dates: bool = True) -> DataFrame:
-    """One row: rows in, rows kept, rows dropped, first and last kept date (ISO text)."""
-    parsed = rename_and_parse(raw, columns, date_format, parse_dates)
-    kept = F.col("date").isNotNull() & F.col("amount").isNotNull()
-    kept_date = F.when(kept, F.col("date"))
-    return parsed.agg(
-        F.count(F.lit(1)).alias("original_rows"),
-        _count(kept).alias("clean_rows"),
-        _count(~kept).alias("dropped_rows"),
-        iso_timestamp(F.min(kept_date)).alias("date_min"),
-        iso_timestamp(F.max(kept_date)).alias("date_max"),
-    )

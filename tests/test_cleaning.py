@@ -3,6 +3,7 @@ from __future__ import annotations
 import pytest
 
 from salesloom.operators import cleaning
+from salesloom.plans.prepare import load_and_clean
 from salesloom.sources import files
 
 CSV = '''order_date,total_price,cost,category,product_name,customer_id,note
@@ -86,3 +87,16 @@ def test_multiline_fields_and_preview(spark, tmp_path):
     raw = files.read_transactions(spark, str(tmp_path / "m.csv"), multiline=True)
     assert raw.first().note == "two\nlines"
     assert files.preview(raw, 5).count() == 1
+
+
+@pytest.mark.parametrize("fmt", [None, "parquet", "csv"])
+def test_load_and_clean(spark, tmp_path, fmt):
+    (tmp_path / "raw.csv").write_text(CSV)
+    save_path = str(tmp_path / "out") if fmt else None
+    clean, report = load_and_clean(spark, str(tmp_path / "raw.csv"), save_path=save_path,
+                                   save_format=fmt or "parquet")
+    assert clean.count() == 3 and dict(clean.dtypes)["date"] == "timestamp_ntz"
+    assert (tmp_path / "out").exists() == bool(fmt)
+    row = report.first()
+    assert row.validation.invalid_amounts == 2 and row.validation.n_columns == 7
+    assert row.cleaning.dropped_rows == 5 and row.cleaning.date_max == "2024-01-10T00:00:00"

@@ -4,10 +4,8 @@ from __future__ import annotations
 
 import re
 
-import pytest
 from pyspark.sql import functions as F
 
-from checks.queries import QUERIES
 from salesloom.operators import bundle as bundles
 from salesloom.operators import documents, index, kpi, similarity
 from salesloom.sources import tables
@@ -18,20 +16,6 @@ def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-SEARCHES = {"similar_topk", "similar_topk_l2", "report_retrieval", "report_prompts",
-            "report_prompts_hybrid_id", "question_prompts"} | {
-    q for q in QUERIES if q.startswith(("retriev", "search", "rag_context"))}
-
-
-@pytest.mark.parametrize("name", sorted(QUERIES))
-def test_no_cross_join_and_python_only_for_scoring(spark, name):
-    text = plan(QUERIES[name](spark, SMALL))
-    assert "CartesianProduct" not in text and "NestedLoopJoin" not in text
-    python = re.findall(r"MapInArrow|MapInPandas|ArrowEvalPython|BatchEvalPython|FlatMap\w*",
-                        text)
-    assert set(python) <= ({"MapInArrow"} if name in SEARCHES else set())
-
-
 def test_projection_and_filter_reach_the_scan(spark):
     tx = tables.purchases(spark, SMALL)
     text = plan(kpi.overall_metrics(tx))
