@@ -173,11 +173,9 @@ def cosine_pairs(spark: SparkSession, folder: str) -> DataFrame:
 
 def label_centroids(stored: DataFrame) -> DataFrame:
     """Mean vector per label; the number of labels is small, every vector takes part."""
-    parts = stored.select("label", F.posexplode("embedding").alias("at", "x"))
-    means = parts.groupBy("label", "at").agg(F.avg("x").alias("mean"))
-    listed = means.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("at", "mean")))
-                                        .alias("cells"))
-    return listed.select("label", F.transform("cells", lambda c: c["mean"]).alias("embedding"))
+    width = stored.select(F.size("embedding")).first()[0]
+    means = [F.avg(F.col("embedding")[i]) for i in range(width)]
+    return stored.groupBy("label").agg(F.array(*means).alias("embedding"))
 
 
 def _similar(metric: str) -> Query:

@@ -24,6 +24,7 @@ class MetricsBundle:
     anomaly: DataFrame
     by: tuple[str, ...]
     segment_types: tuple[str, ...]
+    top_n: int | None
     values: DataFrame
     base: DataFrame
 
@@ -96,7 +97,7 @@ def build_metrics_bundle(tx: DataFrame, granularity: str = "month", top_n: int |
         segments=segments,
         monthly_trend=kpi.trend_from(daily, by),
         anomaly=kpi.anomaly_from(daily, lookback_days, sigma, by),
-        by=by, segment_types=tuple(types), values=values, base=base)
+        by=by, segment_types=tuple(types), top_n=top_n, values=values, base=base)
 
 
 def metrics_long(bundle: MetricsBundle) -> DataFrame:
@@ -142,9 +143,12 @@ def digest(bundle: MetricsBundle, recent_periods: int = 6, per_segment: int = 5)
     """One row per group with everything a report or a context text needs.
 
     ``overall``, ``trend`` and ``anomaly`` are structs; ``recent`` holds the last periods
-    and ``segments`` the best values per type, both of bounded length.
+    and ``segments`` the best values per type (no more than the bundle's ``top_n``), both
+    of bounded length.
     """
     by = bundle.by
+    if bundle.top_n is not None:
+        per_segment = min(per_segment, bundle.top_n)
     newest = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("period")))
     series_columns = [c for c in bundle.time_series.columns if c not in by]
     recent = (

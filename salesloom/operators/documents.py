@@ -20,12 +20,13 @@ def _optional(tx: DataFrame, name: str) -> Column:
     return (F.col(name) if name in tx.columns else F.lit(None)).cast("string")
 
 
-def documents(tx: DataFrame, id_col: str) -> DataFrame:
+def documents(tx: DataFrame, id_col: str, pos_col: str | None = None) -> DataFrame:
     """One document per transaction: ``id, pos, text, metadata``.
 
-    ``id_col`` is a unique integer key of the transactions; it names the document and
-    orders equal search scores, so both survive reruns. Missing and empty fields are left
-    out of the text.
+    ``id_col`` is an integer key of the transactions; it names the document and orders
+    equal search scores, so both survive reruns. ``pos_col`` gives another order, needed
+    where one batch holds several states of a transaction (the last one wins in an index).
+    Missing and empty fields are left out of the text.
     """
     key = F.col(id_col).cast("bigint")
     txn_id = F.concat(F.lit("txn-"), key.cast("string"))
@@ -50,7 +51,8 @@ def documents(tx: DataFrame, id_col: str) -> DataFrame:
         txn_id.alias("transaction_id"), F.coalesce(date, F.lit("")).alias("date"),
         amount.alias("amount"), *[v.alias(k) for k, v in named.items()],
         key.alias("row_index"))
-    return tx.select(txn_id.alias("id"), key.alias("pos"), text.alias("text"),
+    pos = F.col(pos_col or id_col).cast("bigint")
+    return tx.select(txn_id.alias("id"), pos.alias("pos"), text.alias("text"),
                      metadata.alias("metadata"))
 
 
@@ -87,7 +89,8 @@ def embed(df: DataFrame, text_col: str = "text", provider: EmbedBatch | None = N
     return df.mapInPandas(run, schema)
 
 
-def index_rows(tx: DataFrame, id_col: str, provider: EmbedBatch | None = None) -> DataFrame:
+def index_rows(tx: DataFrame, id_col: str, provider: EmbedBatch | None = None,
+               pos_col: str | None = None) -> DataFrame:
     """Documents ready for an index: ``id, pos, text, metadata, embedding, norm``."""
-    embedded = embed(documents(tx, id_col), "text", provider)
+    embedded = embed(documents(tx, id_col, pos_col), "text", provider)
     return embedded.withColumn("norm", vectors.norm(F.col("embedding")))

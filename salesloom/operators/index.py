@@ -9,11 +9,16 @@ INDEX_COLUMNS = ("id", "pos", "text", "metadata", "embedding", "norm")
 
 
 def latest_per_id(rows: DataFrame) -> DataFrame:
-    """One row per id: the content of the last one, at the place of the first one."""
-    content = F.struct(*[c for c in rows.columns if c not in ("id", "pos")])
-    merged = rows.groupBy("id").agg(F.min("pos").alias("pos"),
-                                    F.max_by(content, F.col("pos")).alias("content"))
-    return merged.select("id", "pos", "content.*").select(*rows.columns)
+    """One row per id: the content of the last one, at the place of the first one.
+
+    Rows of an id that share a position are told apart by their content, so the result
+    does not depend on the order in which tasks finish.
+    """
+    content = [c for c in rows.columns if c not in ("id", "pos")]
+    merged = rows.groupBy("id").agg(F.min("pos").alias("first"),
+                                    F.max(F.struct("pos", *content)).alias("last"))
+    return merged.select("id", F.col("first").alias("pos"),
+                         *[F.col("last")[c].alias(c) for c in content]).select(*rows.columns)
 
 
 def at_most(df: DataFrame, rows: int) -> bool:

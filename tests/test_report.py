@@ -168,3 +168,14 @@ def test_grouped_report_sink(sales_frame, tmp_path):
     for region, text in expected.items():
         parts = list((tmp_path / "r" / f"region={region}").glob("*.txt"))
         assert [p.read_text() for p in parts] == [text + "\n"]
+
+
+def test_report_shows_no_more_than_the_bundle_keeps(sales_frame):
+    rows = [("2024-01-10", float(i), f"c{i}") for i in range(1, 8)]
+    columns = "date string, amount double, category string"
+    for top_n, shown, listed in ((1, 1, 1), (4, 3, 4), (None, 3, 5)):
+        with build_metrics_bundle(sales_frame(rows, columns), top_n=top_n) as found:
+            assert found.segments.count() == (top_n or 7)
+            text = report.report_text(found).first().report
+            assert text.count(" orders (approx.") == shown
+            assert context.context_summary(found).first().context.count("• category=") == listed

@@ -233,6 +233,17 @@ def test_upsert(spark, old, new):
     assert [(r.id, r.text) for r in found.orderBy("pos").collect()] == merged_by_hand(old, new)
 
 
+def test_last_state_of_a_batch_wins(spark, sales_frame):
+    columns = "date string, amount double, key long, seq long"
+    old = sales_frame([("2024-01-01", 1.0, 7, 0), ("2024-01-01", 2.0, 3, 1)], columns)
+    new = sales_frame([("2024-01-02", 5.0, 9, 10), ("2024-01-02", 4.0, 7, 11),
+                       ("2024-01-03", 6.0, 9, 12)], columns)
+    rows = [documents.index_rows(tx, "key", pos_col="seq") for tx in (old, new)]
+    found = index.upsert(*rows).orderBy("pos").collect()
+    assert [(r.id, r.metadata.amount) for r in found] == [
+        ("txn-7", 4.0), ("txn-3", 2.0), ("txn-9", 6.0)]
+
+
 def test_index_table(spark, shop, tmp_path):
     path = str(tmp_path)
     assert read_index(spark, path, "shop") is None
