@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from salesloom.llm import mixing, ngram_join, private_data, quality_rules, winnowing
+from salesloom.llm import (
+    brown_lm, host_reputation, html_blocks, knn_quality, mixing, ngram_join, private_data, quality_rules,
+    substring_dedup, winnowing)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -39,12 +41,45 @@ def op4_winnowing(spark: SparkSession, folder: str) -> DataFrame:
                        sha256(F.concat_ws(",", "items")).alias("items_sha256"), "contaminated")
 
 
+def op5_neighbour_quality(spark: SparkSession, folder: str) -> DataFrame:
+    rows = knn_quality.score_quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return rows.withColumnRenamed("id", "doc_id")
+
+
+def op6_host_reputation(spark: SparkSession, folder: str) -> DataFrame:
+    """Outcomes of pages: quality labels of the documents whose number ends the url's path."""
+    pages, labels = table(spark, folder, "pages"), table(spark, folder, "labels")
+    url = F.col("url").cast("string")
+    shown = pages.select(host_reputation.url_host(url).alias("host"),
+                         F.regexp_extract(host_reputation.url_path(url), r"/([0-9]{1,18})(?:\.[a-z]+)?/?$", 1).alias("number"))
+    shown = shown.filter("number != ''").select("host", F.col("number").cast("long").alias("doc_id"))
+    outcomes = shown.join(labels.groupBy("doc_id").agg(F.min("quality").alias("good")), "doc_id").select("host", "good")
+    rules = spark.createDataFrame(list(host_reputation.RULES), "action string, host string, path string")
+    rows = host_reputation.judge(pages, outcomes, rules)
+    return rows.select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict", "bound")
+
+
+def op7_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    return html_blocks.extract_main_text(table(spark, folder, "pages")).withColumnRenamed("id", "page_id")
+
+
 def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     rows = quality_rules.quality_verdicts(table(spark, folder, "documents"))
     return rows.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines",
                        "n_repeat_words", "base_failed", "kept", "character_distance", "word_distance")
 
 
+def op9_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    rows = substring_dedup.remove_repeats(table(spark, folder, "documents"))
+    return rows.select(F.col("id").alias("doc_id"), F.col("n").alias("n_words"), "n_removed", F.when(
+        F.col("kept").isNull(), F.col("words_sha")).otherwise(sha256(F.col("kept"))).alias("kept_sha256"))
+
+
+def op10_brown_lm(spark: SparkSession, folder: str) -> DataFrame:
+    return brown_lm.score_texts(table(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_ngram_jaccard, op2_source_mix, op3_private_data, op4_winnowing, op8_quality_rules)}
+    op1_ngram_jaccard, op2_source_mix, op3_private_data, op4_winnowing, op5_neighbour_quality, op6_host_reputation,
+    op7_main_text, op8_quality_rules, op9_substring_dedup, op10_brown_lm)}
 ORACLE_SQL: dict[str, str] = {}

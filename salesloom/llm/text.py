@@ -104,4 +104,4 @@ def grams(hashes: np.ndarray, size: int, base: int = _GRAM_BASE) -> np.ndarray:
     for j in range(1, size):
         out *= np.uint64(base)
         out += hashes[j:j + n]
-    return mix(out + np.uint64(size) * np.uint64(_LENGTH))
+    return mix(out + np.uint64(size * _LENGTH % (1 << 64)))
