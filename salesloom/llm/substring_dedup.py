@@ -1,14 +1,16 @@
 """Removal of repeated word passages by level-wise doubling.
 
-Windows of ``window`` words are looked for through shorter ones: of every window, one run of 5 words
-stands for it (that of least hash, so equal windows choose equal runs). Runs that repeat anywhere
-are extended to 10 words inside their windows, those that repeat again to 20, and so on up to the
-window itself; a window whose run stands alone at some length drops out. At the last length, the
-least (id, start) of equal windows stays, all others are repeats, and the words they cover go.
+Windows of ``window`` words are looked for through shorter runs: of every window, one run of 10
+words stands for it (that of least hash, so equal windows choose equal runs). Runs that repeat
+anywhere are extended to 20 words inside their windows, those that repeat again to 40, and so on up
+to the window itself; a window whose run stands alone at some length drops out. At the last length,
+the least (id, start) of equal windows stays, all others are repeats, and the words they cover go.
 
 Documents of equal words are settled before: all but the least id are repeats from end to end.
-Texts travel once, to the rows with candidates; later levels read those only. Runs of 5 and 10
-words are counted by 64-bit hashes, where a collision only adds candidates; windows by 128 bits.
+Texts travel compressed, and only those with candidates go on. Shorter runs are counted by 64-bit
+hashes, where a collision only adds candidates; windows are told apart by 96 bits. Of equal windows
+in a batch, all but the first are known as repeats at once, so a passage that very many documents
+share meets in one place only once a batch.
 """
 
 from __future__ import annotations
@@ -18,19 +20,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from salesloom.llm.storage import cut
 from salesloom.llm.text import grams, hashed_words
 
-START = 5
+START = 10
+_CODEC = pa.Codec("zstd", compression_level=1)
 _SECOND_BASE = 0x9FB21C651E98DF25
 _LAST = (1 << 63) - 1
 
 
 def _levels(window: int) -> list[int]:
-    """5, 10, 20, ... below the window, then the window."""
+    """10, 20, 40, ... below the window, then the window."""
     out = [min(START, window)]
     while out[-1] * 2 < window:
         out.append(out[-1] * 2)
@@ -48,9 +51,14 @@ def _choices(hashes: np.ndarray, window: int) -> np.ndarray:
 
 
 def _extended(choice: np.ndarray, window: int, size: int) -> np.ndarray:
-    """Where a run of ``size`` words around the choice starts, inside the window of each start."""
-    starts = np.arange(len(choice))
-    return np.minimum(choice, starts + window - size)
+    """Where a run of ``size`` words around the choice starts, inside the window of each start.
+
+    It starts at the choice, or as many steps of ``START`` words before as it takes to fit.
+    """
+    if size == window:
+        return np.arange(len(choice))
+    over = choice - np.arange(len(choice)) + size - window
+    return choice - np.maximum(0, -(-over // START)) * START
 
 
 def _lists(column: pa.Array) -> Iterator[np.ndarray]:
@@ -103,33 +111,71 @@ def _alive(choice: np.ndarray, window: int, size: int, repeated: np.ndarray) ->
     return np.flatnonzero(known[starts])
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts as (size, compressed bytes)."""
+    for batch in batches:
+        raw = [(value.as_py() or "").encode() for value in batch.column(2)]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(1), pa.array([len(x) for x in raw], pa.int64()),
+             pa.array([_CODEC.compress(x, asbytes=True) for x in raw], pa.binary())],
+            names=["row", "id", "size", "packed"])
+
+
+def _unpacked(batch: pa.RecordBatch) -> list[bytes]:
+    sizes, packed = batch.column("size").to_pylist(), batch.column("packed").to_pylist()
+    return [_CODEC.decompress(x, decompressed_size=n, asbytes=True) if n else b"" for x, n in zip(packed, sizes)]
+
+
+def _hashed(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    return hashed_words(pa.array(_unpacked(batch), pa.large_binary()).cast(pa.large_string()))
+
+
 def _next_level(window: int, before: int, size: int):
     """Rows of the runs of ``size`` words that contain repeated runs of ``before`` words."""
-    final = size == window
-    fields = [("h", pa.int64()), ("row", pa.int64()), ("at", pa.int32())]
-    schema = pa.schema(fields + [("g", pa.int64()), ("id", pa.int64())] if final else fields)
+    schema = pa.schema([("h", pa.int64()), ("row", pa.int64()), ("at", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hs, gs, rows, ids, ats = [], [], [], [], []
-            known = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _lists(batch.column(3)))
-            for (key, own, repeated), hashes in zip(known, hashed_words(batch.column(2))):
+            for key, repeated, hashes in zip(batch.column("row").to_pylist(), _lists(batch.column("places")), _hashed(batch)):
                 choice = _choices(hashes, window)
-                alive = _alive(choice, window, before, repeated)
-                at = np.unique(_extended(choice, window, size)[alive])
-                if not len(at):
-                    continue
-                hs.append(grams(hashes, size)[at])
-                rows.append(np.full(len(at), key, dtype=np.int64))
-                ats.append(at.astype(np.int32))
-                if final:
-                    gs.append(grams(hashes, size, _SECOND_BASE)[at])
+                at = np.unique(_extended(choice, window, size)[_alive(choice, window, before, repeated)])
+                if len(at):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(grams(hashes, size)[at].view(np.int64)),
+                         pa.array(np.full(len(at), key, dtype=np.int64)), pa.array(at.astype(np.int32))], schema=schema)
+
+    return run
+
+
+def _windows(window: int, before: int):
+    """Windows that contain repeated runs; ``known``: an equal one stands before it in the batch."""
+    schema = pa.schema([("h", pa.int64()), ("g", pa.int32()), ("id", pa.int64()), ("part", pa.int32()),
+                        ("at", pa.int32()), ("known", pa.bool_())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hs, gs, keys, ids, ats = [], [], [], [], []
+            known = zip(batch.column("row").to_pylist(), batch.column("id").to_pylist(), _lists(batch.column("places")))
+            for (key, own, repeated), hashes in zip(known, _hashed(batch)):
+                at = _alive(_choices(hashes, window), window, before, repeated)
+                if len(at):
+                    hs.append(grams(hashes, window)[at])
+                    gs.append((grams(hashes, window, _SECOND_BASE)[at] >> np.uint64(32)).astype(np.uint32))
+                    keys.append(np.full(len(at), key, dtype=np.int64))
                     ids.append(np.full(len(at), own, dtype=np.int64))
-            if hs:
-                columns = [np.concatenate(hs).view(np.int64), np.concatenate(rows), np.concatenate(ats)]
-                if final:
-                    columns += [np.concatenate(gs).view(np.int64), np.concatenate(ids)]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], schema=schema)
+                    ats.append(at)
+            if not hs:
+                continue
+            h, g, key, own, at = (np.concatenate(x) for x in (hs, gs, keys, ids, ats))
+            order = np.lexsort((at, own, g, h))
+            h, g, key, own, at = h[order], g[order], key[order], own[order], at[order]
+            new = np.ones(len(h), dtype=bool)
+            new[1:] = (h[1:] != h[:-1]) | (g[1:] != g[:-1])
+            first = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
+            later = (own != own[first]) | (at != at[first])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(h.view(np.int64)), pa.array(g.view(np.int32)), pa.array(own),
+                 pa.array(key.astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(later)], schema=schema)
 
     return run
 
@@ -140,8 +186,8 @@ def _kept(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             removed, texts = [], []
-            for value, starts in zip(batch.column(1), _lists(batch.column(2))):
-                parts = (value.as_py() or "").encode().split()
+            for raw, starts in zip(_unpacked(batch), _lists(batch.column("starts"))):
+                parts = raw.split()
                 edges = np.zeros(len(parts) + 1, dtype=np.int64)
                 np.add.at(edges, starts, 1)
                 np.add.at(edges, starts + window, -1)
@@ -149,7 +195,7 @@ def _kept(window: int):
                 removed.append(int(gone.sum()))
                 texts.append(b" ".join(p for p, g in zip(parts, gone) if not g).decode())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(removed, pa.int64()), pa.array(texts, pa.string())], schema=schema)
+                [batch.column("row"), pa.array(removed, pa.int64()), pa.array(texts, pa.string())], schema=schema)
 
     return run
 
@@ -177,22 +223,22 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         "copy", F.coalesce(F.col("id") > F.col("first"), F.lit(False))).drop("first"))
     originals = base.filter(~F.col("copy") & (F.col("n") >= window)).select("row").distinct()
     found = _repeated(rows.select("row", "text").mapInArrow(_first_level(window), "h long, row long, at int"))
-    texts = cut(found.join(originals, "row").join(rows.dropDuplicates(["row"]), "row").select(
-        "row", "id", "text", "places"))
-    for before, size in zip(levels, levels[1:]):
-        if size == window:
-            break
-        found = _repeated(texts.select("row", "id", "text", "places").mapInArrow(
-            _next_level(window, before, size), "h long, row long, at int"))
-        texts = cut(texts.drop("places").join(found, "row").select("row", "id", "text", "places"))
-    before = levels[-2] if len(levels) > 1 else levels[-1]
-    last = texts.select("row", "id", "text", "places").mapInArrow(
-        _next_level(window, before, window), "h long, row long, at int, g long, id long")
-    first = last.groupBy("h", "g").agg(F.min(F.struct("id", "at")).alias("first"), F.count("*").alias("c"))
-    first = first.filter("c > 1").drop("c")
-    repeats = last.join(first, ["h", "g"]).filter(F.struct("id", "at") > F.col("first"))
-    repeats = repeats.groupBy("row").agg(F.collect_set("at").alias("starts"))
-    results = texts.select("row", "text").join(repeats, "row").select("row", "text", "starts").mapInArrow(
+    columns = ["row", "id", "size", "packed", "places"]
+    packed = rows.select("row", "id", "text").mapInArrow(_packed, "row long, id long, size long, packed binary")
+    texts = cut(found.join(originals, "row").join(packed, "row").dropDuplicates(["row"]).select(*columns))
+    for before, size in zip(levels, levels[1:-1]):
+        found = _repeated(texts.mapInArrow(_next_level(window, before, size), "h long, row long, at int"))
+        texts = cut(texts.drop("places").join(found, "row").select(*columns))
+    # A repeated row is one document with itself, so it needs to stand in ``texts`` once only.
+    last = texts.mapInArrow(_windows(window, levels[-2] if len(levels) > 1 else window),
+                            "h long, g int, id long, part int, at int, known boolean")
+    first = F.min(F.struct("id", "at")).over(Window.partitionBy("h", "g"))
+    open_ = last.filter(~F.col("known")).withColumn("first", first).filter(F.struct("id", "at") > F.col("first"))
+    repeats = open_.select("id", "part", "at").unionByName(last.filter("known").select("id", "part", "at"))
+    repeats = repeats.groupBy("id", "part").agg(F.collect_set("at").alias("starts"))
+    results = texts.withColumn("part", F.col("row").bitwiseAND(0xFFFFFFFF)).withColumn(
+        "part", F.when(F.col("part") >= 1 << 31, F.col("part") - (1 << 32)).otherwise(F.col("part")).cast("int"))
+    results = results.join(repeats, ["id", "part"]).select("row", "size", "packed", "starts").mapInArrow(
         _kept(window), "row long, n_removed long, kept string")
     out = base.join(results, "row", "left")
     return out.select(
