@@ -27,6 +27,7 @@ from salesloom.llm.storage import cut
 from salesloom.llm.text import grams, hashed_words
 
 START = 10
+FILTER_BITS = 1 << 24
 _CODEC = pa.Codec("zstd", compression_level=1)
 _SECOND_BASE = 0x9FB21C651E98DF25
 _LAST = (1 << 63) - 1
@@ -148,9 +149,12 @@ def _next_level(window: int, before: int, size: int):
 
 
 def _windows(window: int, before: int):
-    """Windows that contain repeated runs; ``known``: an equal one stands before it in the batch."""
-    schema = pa.schema([("h", pa.int64()), ("g", pa.int32()), ("id", pa.int64()), ("part", pa.int32()),
-                        ("at", pa.int32()), ("known", pa.bool_())])
+    """Windows that contain repeated runs; ``known``: an equal one stands before it in the batch.
+
+    ``spot``: the lower half of the row key, then the start.
+    """
+    schema = pa.schema([("h", pa.int64()), ("g", pa.int32()), ("id", pa.int64()), ("spot", pa.int64()),
+                        ("known", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -175,7 +179,7 @@ def _windows(window: int, before: int):
             later = (own != own[first]) | (at != at[first])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(h.view(np.int64)), pa.array(g.view(np.int32)), pa.array(own),
-                 pa.array(key.astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(later)], schema=schema)
+                 pa.array(key << np.int64(32) | at), pa.array(later)], schema=schema)
 
     return run
 
@@ -201,9 +205,26 @@ def _kept(window: int):
 
 
 def _repeated(rows: DataFrame) -> DataFrame:
-    """(row, places): where runs start whose hash stands twice or more."""
+    """(row, places, least): where runs start whose hash stands twice or more, and the least such hash."""
     often = rows.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1").select("h")
-    return rows.join(often, "h", "left_semi").groupBy("row").agg(F.collect_set("at").alias("places"))
+    return rows.join(often, "h", "left_semi").groupBy("row").agg(
+        F.collect_set("at").alias("places"), F.min("h").alias("least"))
+
+
+def _perhaps_in(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``rows`` without most of those whose row key is not in ``wanted``; never without one that is.
+
+    A bitmap of ``FILTER_BITS`` bits, 2 MB at any size of input, goes to all tasks. Where it is
+    full it lets all rows pass, which the join that follows sorts out.
+    """
+    bit = F.pmod("row", F.lit(FILTER_BITS)) + 1
+    bits = wanted.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
+    place = F.bitmap_bit_position(bit).cast("int")
+    byte = F.conv(F.hex(F.substring("bits", F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    kept = rows.withColumn("bucket", F.bitmap_bucket_number(bit)).join(F.broadcast(bits), "bucket")
+    return kept.filter(
+        F.get(F.array(*[F.lit(1 << k) for k in range(8)]), place % 8).bitwiseAND(byte) > 0).drop("bucket", "bits")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20) -> DataFrame:
@@ -219,25 +240,30 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                        F.col(text_col).cast("string").alias("text"))
     base = cut(rows.mapInArrow(_base(), "id long, row long, n long, words_sha string"))
     classes = base.filter(F.col("n") >= window).groupBy("words_sha").agg(F.min("id").alias("first"))
-    base = cut(base.join(classes, "words_sha", "left").withColumn(
-        "copy", F.coalesce(F.col("id") > F.col("first"), F.lit(False))).drop("first"))
+    base = base.join(classes, "words_sha", "left").withColumn(
+        "copy", F.coalesce(F.col("id") > F.col("first"), F.lit(False))).drop("first")
     originals = base.filter(~F.col("copy") & (F.col("n") >= window)).select("row").distinct()
     found = _repeated(rows.select("row", "text").mapInArrow(_first_level(window), "h long, row long, at int"))
-    columns = ["row", "id", "size", "packed", "places"]
-    packed = rows.select("row", "id", "text").mapInArrow(_packed, "row long, id long, size long, packed binary")
-    texts = cut(found.join(originals, "row").join(packed, "row").dropDuplicates(["row"]).select(*columns))
+    columns = ["row", "id", "size", "packed", "places", "least"]
+    found = cut(found.join(originals, "row"))
+    packed = _perhaps_in(rows, found).select("row", "id", "text").mapInArrow(
+        _packed, "row long, id long, size long, packed binary")
+    texts = cut(found.join(packed, "row").dropDuplicates(["row"]).select(*columns))
     for before, size in zip(levels, levels[1:-1]):
         found = _repeated(texts.mapInArrow(_next_level(window, before, size), "h long, row long, at int"))
-        texts = cut(texts.drop("places").join(found, "row").select(*columns))
-    # A repeated row is one document with itself, so it needs to stand in ``texts`` once only.
-    last = texts.mapInArrow(_windows(window, levels[-2] if len(levels) > 1 else window),
-                            "h long, g int, id long, part int, at int, known boolean")
-    first = F.min(F.struct("id", "at")).over(Window.partitionBy("h", "g"))
-    open_ = last.filter(~F.col("known")).withColumn("first", first).filter(F.struct("id", "at") > F.col("first"))
-    repeats = open_.select("id", "part", "at").unionByName(last.filter("known").select("id", "part", "at"))
-    repeats = repeats.groupBy("id", "part").agg(F.collect_set("at").alias("starts"))
-    results = texts.withColumn("part", F.col("row").bitwiseAND(0xFFFFFFFF)).withColumn(
-        "part", F.when(F.col("part") >= 1 << 31, F.col("part") - (1 << 32)).otherwise(F.col("part")).cast("int"))
+        texts = cut(texts.drop("places", "least").join(found, "row").select(*columns))
+    # Near copies lie side by side, so that most of their windows are known in their batch.
+    near = texts.repartitionByRange("least", "row")
+    last = near.mapInArrow(_windows(window, levels[-2] if len(levels) > 1 else window),
+                           "h long, g int, id long, spot long, known boolean")
+    place = F.struct("id", F.col("spot").bitwiseAND(0xFFFFFFFF).alias("at"))
+    first = F.min(place).over(Window.partitionBy("h", "g"))
+    open_ = last.filter(~F.col("known")).withColumn("first", first).filter(place > F.col("first"))
+    repeats = open_.select("id", "spot").unionByName(last.filter("known").select("id", "spot"))
+    part = F.shiftright("spot", 32).cast("int")
+    repeats = repeats.groupBy("id", part.alias("part")).agg(
+        F.collect_set(F.col("spot").bitwiseAND(0xFFFFFFFF).cast("int")).alias("starts"))
+    results = texts.withColumn("part", F.shiftright(F.shiftleft("row", 32), 32).cast("int"))
     results = results.join(repeats, ["id", "part"]).select("row", "size", "packed", "starts").mapInArrow(
         _kept(window), "row long, n_removed long, kept string")
     out = base.join(results, "row", "left")
