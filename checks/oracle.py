@@ -720,10 +720,10 @@ SELECT round(total_revenue, 2) AS total_revenue, round(total_cost, 2) AS total_c
     "retrieval_documents": RETRIEVAL_DOCUMENTS,
     "search_result_lines": SEARCH_LINES,
     "rag_context_block": RETRIEVAL + block(_KEYS, "en", "chat", 1200, ""),
-    "rag_context_block_id": RETRIEVAL + block(_KEYS, "id", "report", 400, _MARKER),
+    "rag_context_block_id": RETRIEVAL + block(_KEYS, "id", "report", 1_200, _MARKER),
     "report_retrieval": REPORT_RETRIEVAL,
     "report_prompts": report_prompts("en", False),
     "report_prompts_hybrid_id": report_prompts("id", True),
     "question_prompts": question_prompts("en", True, 12_000),
-    "question_prompts_id": question_prompts("id", False, 2_600),
+    "question_prompts_id": question_prompts("id", False, 1_000_000),
 }

@@ -173,9 +173,10 @@ def cosine_pairs(spark: SparkSession, folder: str) -> DataFrame:
 
 def label_centroids(stored: DataFrame) -> DataFrame:
     """Mean vector per label; the number of labels is small, every vector takes part."""
-    width = stored.select(F.size("embedding")).first()[0]
-    means = [F.avg(F.col("embedding")[i]) for i in range(width)]
-    return stored.groupBy("label").agg(F.array(*means).alias("embedding"))
+    means = (stored.select("label", F.posexplode("embedding").alias("at", "x"))
+             .groupBy("label", "at").agg(F.avg("x").alias("x")))
+    ordered = F.array_sort(F.collect_list(F.struct("at", "x")))
+    return means.groupBy("label").agg(F.transform(ordered, lambda e: e["x"]).alias("embedding"))
 
 
 def _similar(metric: str) -> Query:
@@ -273,8 +274,7 @@ def rag_context_block(spark: SparkSession, folder: str) -> DataFrame:
 
 def rag_context_block_id(spark: SparkSession, folder: str) -> DataFrame:
     _, rows = _retrieved(spark, folder)
-    return retrieval.context_block(rows, QUESTION_KEYS, "id", "report", max_chars=400,
-                                   marker=True)
+    return retrieval.context_block(rows, QUESTION_KEYS, "id", "report", marker=True)
 
 
 def _orders_bundle(spark: SparkSession, folder: str) -> bundles.MetricsBundle:
@@ -305,10 +305,10 @@ def question_prompts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def question_prompts_id(spark: SparkSession, folder: str) -> DataFrame:
-    """Indonesian, without retrieved rows, cut short."""
+    """Indonesian, without retrieved rows, whole."""
     return prompts.question_prompts(
         tables.questions(spark, folder), _orders_bundle(spark, folder), QUESTION_KEYS,
-        language="id", max_chars=2_600)
+        language="id", max_chars=None)
 
 
 QUERIES: dict[str, Query] = {

@@ -31,7 +31,8 @@ def percent(col: Column, decimals: int = 2) -> Column:
 
 def currency(col: Column) -> Column:
     """Rupiah without decimals, digits grouped by dots: ``Rp1.234.567``."""
-    text = F.translate(F.format_number(col, 0), ",", ".")
+    # To four decimals first: the last bits of a sum must not decide a tie.
+    text = F.translate(F.format_number(F.round(col, 4), 0), ",", ".")
     return F.coalesce(F.concat(F.lit("Rp"), text), F.lit(NOT_AVAILABLE))
 
 

@@ -67,7 +67,11 @@ def _scores(q: tuple[np.ndarray, np.ndarray], x: tuple[np.ndarray, np.ndarray],
         size = np.sqrt(q2)[:, None] * np.sqrt(x2)[None, :]
         scores = np.divide(product, size, out=np.zeros_like(product), where=size > 0)
     else:
-        distance = np.maximum(q2[:, None] + x2[None, :] - 2.0 * product, 0.0)
+        # Differences first: |q|^2 + |x|^2 - 2qx loses near neighbours far from the origin.
+        distance = np.zeros_like(product)
+        for at in range(width):
+            gap = qm[:, at, None] - xm[None, :, at]
+            distance += gap * gap
         scores = 1.0 / (1.0 + distance)
     same = ql[:, None] == xl[None, :]
     return scores if same.all() else np.where(same, scores, 0.0)
@@ -139,9 +143,8 @@ def _score_blocks(best: _Best, queries: tuple[np.ndarray, np.ndarray],
 
 
 def _row_bound(sample: DataFrame, max_rows: int, max_bytes: int) -> int:
-    """Rows whose vectors fit into ``max_bytes``, judged by the length of a first one."""
-    probe = sample.select(F.size("embedding").alias("n")).first()
-    width = max(1, probe.n) if probe else 1
+    """Rows whose vectors fit into ``max_bytes``, judged by the longest one."""
+    width = max(1, sample.agg(F.max(F.size("embedding"))).first()[0] or 1)
     return max(1, min(max_rows, max_bytes // (8 * width + 64)))
 
 
@@ -273,8 +276,7 @@ def top_k(index: DataFrame, queries: DataFrame, k: int | None = 5, metric: str =
     if small_queries is not None:
         matches = _index_past_queries(small_queries, queries.select(*keys), keys, candidates,
                                       k, metric)
-        # At most k rows for each of the few queries.
-        return _with_carried(F.broadcast(matches), index, carry)
+        return _with_carried(matches, index, carry)
     matches = _block_against_block(queries, keys, candidates, k, metric, block_rows)
     return _with_carried(matches, index, carry)
 
@@ -282,12 +284,12 @@ def top_k(index: DataFrame, queries: DataFrame, k: int | None = 5, metric: str =
 def _with_carried(matches: DataFrame, index: DataFrame, carry: Sequence[str],
                   possible_ids: pa.Table | None = None) -> DataFrame:
     """Add index columns to matches. When the possible ids are known and few, only their
-    rows are fetched, and both joins broadcast that bounded set."""
+    rows are fetched; how those meet the matches is left to their size."""
     if not carry:
         return matches
     payload = index.select("id", *carry)
     if possible_ids is not None:
         ids = index.sparkSession.createDataFrame(possible_ids)
-        payload = F.broadcast(payload.join(F.broadcast(ids), "id", "left_semi"))
+        payload = payload.join(F.broadcast(ids), "id", "left_semi")
     names = [*matches.columns, *carry]
     return matches.join(payload, "id").select(*names)

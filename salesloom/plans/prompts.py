@@ -203,7 +203,7 @@ def report_prompts(bundle: MetricsBundle, language: str = "en", hybrid: bool = F
 def question_prompts(questions: DataFrame, bundle: MetricsBundle, keys: Sequence[str],
                      question_col: str = "question", language: str = "en",
                      commands: Sequence[str] | None = None, blocks: DataFrame | None = None,
-                     max_chars: int | None = context.MAX_CONTEXT_CHARS) -> DataFrame:
+                     max_chars: int | None = None) -> DataFrame:
     """One prompt pair per question: ``keys, system_prompt, user_prompt``.
 
     The KPI context is computed once and reaches the questions as a scalar (or, for a

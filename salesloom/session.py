@@ -34,6 +34,9 @@ def build_session(app_name: str = "salesloom", master: str | None = None,
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder the cluster names; a local one only when none is set."""
+    """The shared checkpoint folder the cluster names; unset, only a session in one process gets one."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
+    master = spark.sparkContext.master
+    if shared is None and (not master.startswith("local") or master.startswith("local-cluster")):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return shared or tempfile.mkdtemp(prefix="salesloom-checkpoint-")
