@@ -54,7 +54,9 @@ def op6_host_reputation(spark: SparkSession, folder: str) -> DataFrame:
                          F.regexp_extract(host_reputation.url_path(url), r"/([0-9]{1,18})(?:\.[a-z]+)?/?$", 1).alias("number"))
     shown = shown.filter("number != ''").select("host", F.col("number").cast("long").alias("doc_id"))
     outcomes = shown.join(labels.groupBy("doc_id").agg(F.min("quality").alias("good")), "doc_id").select("host", "good")
-    rules = spark.createDataFrame(list(host_reputation.RULES), "action string, host string, path string")
+    rules = spark.range(1).select(F.inline(F.array(*[
+        F.struct(*[F.lit(v).alias(n) for n, v in zip(("action", "host", "path"), rule)])
+        for rule in host_reputation.RULES])))
     rows = host_reputation.judge(pages, outcomes, rules)
     return rows.select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict", "bound")
 
