@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from salesloom.llm import (
     brown_lm, host_reputation, html_blocks, knn_quality, mixing, ngram_join, private_data, quality_rules,
     substring_dedup, winnowing)
+from salesloom.llm.oracle import ORACLE_SQL
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -84,4 +85,3 @@ def op10_brown_lm(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_ngram_jaccard, op2_source_mix, op3_private_data, op4_winnowing, op5_neighbour_quality, op6_host_reputation,
     op7_main_text, op8_quality_rules, op9_substring_dedup, op10_brown_lm)}
-ORACLE_SQL: dict[str, str] = {}
