@@ -29,7 +29,16 @@ _DIRECTIVES = {
     "H": ("H", r"\d{1,2}"),
     "M": ("m", r"\d{1,2}"),
     "S": ("s", r"\d{1,2}"),
+    "I": ("h", r"(?:0?[1-9]|1[0-2])"),
+    "p": ("a", r"(?i:am|pm)"),
+    "f": ("SSSSSS", r"\d{1,6}"),
+    "j": ("D", r"\d{1,3}"),
+    "y": ("yy", r"\d{2}"),
+    "b": ("MMM", r"[A-Za-z]{3}"),
+    "B": ("MMMM", r"[A-Za-z]+"),
 }
+# Two-digit years from 69 on belong to the last century; the JVM puts all into this one.
+_LAST_CENTURY = 2069
 
 
 def na_to_null(col: Column) -> Column:
@@ -69,15 +78,19 @@ def parse_date(col: Column, dtype: T.DataType, date_format: str | None) -> Colum
     """Timestamp (without time zone) of ``col``.
 
     With a format, text must match it as a whole: unpadded month and day are
-    accepted, impossible days and trailing text are not.
+    accepted, impossible days (such as day 366 of a common year) and trailing text are not.
     """
     if not isinstance(dtype, T.StringType):
         return col.cast("timestamp_ntz")
     if not date_format:
         return col.try_cast("timestamp_ntz")
     pattern, guard = date_format_parts(date_format)
-    has_time = any(f"%{c}" in date_format for c in "HMS")
+    has_time = any(f"%{c}" in date_format for c in "HMSIpf")
     text = F.regexp_extract(col, guard, 0)
     parsed = (F.try_to_timestamp(text, F.lit(pattern)) if has_time
               else F.try_to_date(text, pattern))
-    return parsed.cast("timestamp_ntz")
+    found = parsed.cast("timestamp_ntz")
+    if "%y" in date_format:
+        century = F.expr("interval 100 years")
+        found = F.when(F.year(found) >= _LAST_CENTURY, found - century).otherwise(found)
+    return found

@@ -39,26 +39,25 @@ class MetricsBundle:
 
 
 def _one_pass(tx: DataFrame, by: tuple[str, ...], segments: Sequence[str]) -> DataFrame:
-    """Sums per day and per value of each segment column: grouping sets over one scan.
+    """Sums per day and per value of each segment column, ``kind`` and ``key``: one scan.
 
-    Partial aggregation runs before the shuffle, so days, categories and channels shuffle
-    next to nothing and only distinct products and customers travel.
+    Every row gives one pair per kind. Partial aggregation runs before the shuffle, so days,
+    categories and channels shuffle next to nothing and only distinct products and customers
+    travel. (Grouping sets would do the same, but parts of a plan that hold them twice no longer
+    match what is persisted.)
     """
     cost = [F.col("cost").cast("double").alias("cost")] if "cost" in tx.columns else []
-    rows = tx.select(
-        *by, F.to_date("date").alias("day"), *segments,
-        F.col("amount").cast("double").alias("revenue"), *cost, F.col("date"))
-    totals = [F.sum("revenue").alias("revenue")]
+    keys = {"day": F.to_date("date"), **{s: F.col(s) for s in segments}}
+    pairs = [F.struct(F.lit(kind).alias("kind"), key.cast("string").alias("key"))
+             for kind, key in keys.items()]
+    rows = tx.select(*by, F.col("amount").cast("double").alias("revenue"), *cost, "date",
+                     F.inline(F.array(*pairs)))
+    totals = [kpi.exact_sum(F.col("revenue")).alias("revenue")]
     if cost:
-        totals.append(F.sum("cost").alias("cost"))
-    kind = F.when(F.grouping("day") == 0, "day")
-    for s in segments:
-        kind = kind.when(F.grouping(s) == 0, s)
-    sets = [[*by, key] for key in ("day", *segments)]
-    return rows.groupingSets(sets, *by, "day", *segments).agg(
+        totals.append(kpi.exact_sum(F.col("cost")).alias("cost"))
+    return rows.groupBy(*by, "kind", "key").agg(
         *totals, F.count(F.lit(1)).alias("n_rows"), F.count("revenue").alias("order_count"),
-        F.min("date").alias("date_min"), F.max("date").alias("date_max"),
-        kind.alias("kind"))
+        F.min("date").alias("date_min"), F.max("date").alias("date_max"))
 
 
 def build_metrics_bundle(tx: DataFrame, granularity: str = "month", top_n: int | None = 5,
@@ -75,15 +74,12 @@ def build_metrics_bundle(tx: DataFrame, granularity: str = "month", top_n: int |
     base = _one_pass(tx, by, types).persist(StorageLevel.MEMORY_AND_DISK)
     has_cost = ["cost"] if "cost" in tx.columns else []
     daily = kpi.gathered(base.where(F.col("kind") == "day").select(
-        *by, "day", "revenue", *has_cost, "n_rows", "date_min", "date_max"), by)
-    if types:
-        value = F.coalesce(*[F.col(s).cast("string") for s in types])
-    else:
-        value = F.lit(None).cast("string")
+        *by, F.col("key").cast("date").alias("day"), "revenue", *has_cost, "n_rows", "date_min",
+        "date_max"), by)
     sums = [F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in ("revenue", *has_cost)]
     values = (
         base.where(F.col("kind") != "day")
-        .select(*by, F.col("kind").alias("segment_type"), value.alias("segment_value"),
+        .select(*by, F.col("kind").alias("segment_type"), F.col("key").alias("segment_value"),
                 *sums, "order_count")
         .where(F.col("segment_value").isNotNull())
     )

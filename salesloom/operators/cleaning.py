@@ -15,6 +15,7 @@ from ..functions.formatting import iso_timestamp
 from ..functions.parsing import parse_date, parse_number
 
 REQUIRED = ("date", "amount")
+PARSED = ("date", "amount", "cost")
 FIELDS = ("date", "amount", "cost", "category", "product", "customer_id", "channel")
 
 # Raw column names assumed when no mapping is given.
@@ -133,6 +134,18 @@ def rename_and_parse(raw: DataFrame, columns: Mapping[str, str | None] = DEFAULT
 def clean_transactions(raw: DataFrame, columns: Mapping[str, str | None] = DEFAULT_COLUMNS,
                        date_format: str | None = DEFAULT_DATE_FORMAT,
                        parse_dates: bool = True) -> DataFrame:
-    """Rows with a usable date and amount; an unusable cost only becomes NULL."""
-    parsed = rename_and_parse(raw, columns, date_format, parse_dates)
-    return parsed.where(F.col("date").isNotNull() & F.col("amount").isNotNull())
+    """Rows with a usable date and amount; an unusable cost only becomes NULL.
+
+    Parsed values come from a generator of one row, below which no filter is pushed: each is
+    parsed once per row.
+    """
+    found = present_columns(raw, columns)
+    field_of = {name: field for field, name in found.items()}
+    parsed = [f for f in PARSED if f in found]
+    others = [F.col(f"`{c}`").alias(field_of.get(c, c)) for c in raw.columns
+              if field_of.get(c) not in parsed]
+    values = F.struct(*[_parsed(raw, found[f], f, date_format, parse_dates).alias(f)
+                        for f in parsed])
+    rows = raw.select(*others, F.inline(F.array(values)))
+    kept = rows.where(F.col("date").isNotNull() & F.col("amount").isNotNull())
+    return kept.select(*[F.col(f"`{field_of.get(c, c)}`") for c in raw.columns])

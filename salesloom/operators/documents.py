@@ -20,16 +20,36 @@ def _optional(tx: DataFrame, name: str) -> Column:
     return (F.col(name) if name in tx.columns else F.lit(None)).cast("string")
 
 
-def documents(tx: DataFrame, id_col: str, pos_col: str | None = None) -> DataFrame:
+def _key(tx: DataFrame, id_col: str | None) -> tuple[Column, Column]:
+    """(key as text, its place as a whole number) of a transaction.
+
+    A whole number, or a text of one, is its own place. Another key is placed by its hash, and
+    where there is no key, the hash of the whole row is both. Hashes give places of 44 bits, so
+    that an index has room behind its last place for hundreds of thousands of batches.
+    """
+    if id_col is None:
+        key = F.xxhash64(*[F.col(f"`{c}`") for c in tx.columns])
+        return F.shiftrightunsigned(key, 1).cast("string"), F.shiftrightunsigned(key, 20)
+    key = F.col(id_col)
+    if not isinstance(tx.schema[id_col].dataType, T.StringType):
+        whole = key.cast("bigint")
+        return whole.cast("string"), whole
+    whole = key.try_cast("bigint")
+    return (F.coalesce(whole.cast("string"), key),
+            F.coalesce(whole, F.shiftrightunsigned(F.xxhash64(key), 20)))
+
+
+def documents(tx: DataFrame, id_col: str | None = None, pos_col: str | None = None) -> DataFrame:
     """One document per transaction: ``id, pos, text, metadata``.
 
-    ``id_col`` is an integer key of the transactions; it names the document and orders
-    equal search scores, so both survive reruns. ``pos_col`` gives another order, needed
-    where one batch holds several states of a transaction (the last one wins in an index).
-    Missing and empty fields are left out of the text.
+    ``id_col`` is a key of the transactions; it names the document and orders equal search
+    scores, so both survive reruns. Without a key a row is named by its hash, and rows equal in
+    all columns are one document in an index. ``pos_col`` gives another order, needed where one
+    batch holds several states of a transaction (the last one wins in an index). Missing and
+    empty fields are left out of the text.
     """
-    key = F.col(id_col).cast("bigint")
-    txn_id = F.concat(F.lit("txn-"), key.cast("string"))
+    name, key = _key(tx, id_col)
+    txn_id = F.concat(F.lit("txn-"), name)
     amount = F.col("amount").cast("double")
     date = iso_timestamp(F.col("date"))
     named = {c: _optional(tx, c) for c in ("category", "product", "customer_id", "channel")}
@@ -51,7 +71,7 @@ def documents(tx: DataFrame, id_col: str, pos_col: str | None = None) -> DataFra
         txn_id.alias("transaction_id"), F.coalesce(date, F.lit("")).alias("date"),
         amount.alias("amount"), *[v.alias(k) for k, v in named.items()],
         key.alias("row_index"))
-    pos = F.col(pos_col or id_col).cast("bigint")
+    pos = F.col(pos_col).cast("bigint") if pos_col else key
     return tx.select(txn_id.alias("id"), pos.alias("pos"), text.alias("text"),
                      metadata.alias("metadata"))
 
@@ -89,7 +109,7 @@ def embed(df: DataFrame, text_col: str = "text", provider: EmbedBatch | None = N
     return df.mapInPandas(run, schema)
 
 
-def index_rows(tx: DataFrame, id_col: str, provider: EmbedBatch | None = None,
+def index_rows(tx: DataFrame, id_col: str | None = None, provider: EmbedBatch | None = None,
                pos_col: str | None = None) -> DataFrame:
     """Documents ready for an index: ``id, pos, text, metadata, embedding, norm``."""
     embedded = embed(documents(tx, id_col, pos_col), "text", provider)

@@ -32,7 +32,8 @@ def upsert(current: DataFrame, new: DataFrame, broadcast_rows: int = 200_000) ->
 
     New ids are placed behind everything there is. The large current table is only
     filtered and passed on: a batch of at most ``broadcast_rows`` ids is broadcast to it,
-    so that it is not shuffled; a larger one is joined by sorting both sides.
+    so that it is not shuffled; a larger one is joined by sorting both sides. ``new`` is read
+    several times: persist it if its embeddings come from a provider.
     """
     new = latest_per_id(new.select(*current.columns))
     new_ids = new.select("id")

@@ -54,11 +54,22 @@ def measures(tx: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
+def exact_sum(value: Column) -> Column:
+    """Sum as double that does not depend on the order of addition.
+
+    Amounts are added as decimals of ten places. What fits no decimal (infinities) is added
+    as it is. The sum of no values is NULL.
+    """
+    exact = value.try_cast("decimal(30,10)")
+    total, rest = F.sum(exact).cast("double"), F.sum(F.when(exact.isNull(), value))
+    return F.coalesce(total + rest, total, rest)
+
+
 def add_up(measured: DataFrame, *keys: str | Column) -> DataFrame:
     """Sum measures per key. Works on transactions and on rows summed before."""
-    totals = [F.sum("revenue").alias("revenue")]
+    totals = [exact_sum(F.col("revenue")).alias("revenue")]
     if "cost" in measured.columns:
-        totals.append(F.sum("cost").alias("cost"))
+        totals.append(exact_sum(F.col("cost")).alias("cost"))
     totals += [F.sum("n_rows").alias("n_rows"), F.min("date_min").alias("date_min"),
                F.max("date_max").alias("date_max")]
     return measured.groupBy(*keys).agg(*totals)
@@ -160,9 +171,9 @@ def segment_values(tx: DataFrame, segment: str, by: Sequence[str] = ()) -> DataF
     """Sums per segment value: ``by, segment_type, segment_value, revenue[, cost],
     order_count``. Rows without a value are left out."""
     require_columns(tx, "amount", segment, *by)
-    totals = [F.coalesce(F.sum(F.col("amount").cast("double")), F.lit(0.0)).alias("revenue")]
+    totals = [F.coalesce(exact_sum(F.col("amount").cast("double")), F.lit(0.0)).alias("revenue")]
     if "cost" in tx.columns:
-        totals.append(F.coalesce(F.sum(F.col("cost").cast("double")), F.lit(0.0))
+        totals.append(F.coalesce(exact_sum(F.col("cost").cast("double")), F.lit(0.0))
                       .alias("cost"))
     return (
         tx.where(F.col(segment).isNotNull())
@@ -213,10 +224,10 @@ def all_segments(values: DataFrame, by: Sequence[str] = (),
     scalar where there is only one."""
     group = [*by, "segment_type"]
     if one_type and not by:
-        total = values.agg(F.sum("revenue").alias("total")).scalar()
+        total = values.agg(exact_sum(F.col("revenue")).alias("total")).scalar()
         joined = values.withColumn("total", total)
     else:
-        totals = values.groupBy(*group).agg(F.sum("revenue").alias("total"))
+        totals = values.groupBy(*group).agg(exact_sum(F.col("revenue")).alias("total"))
         joined = null_safe_join(values, totals, group)
     return joined.select(
         *group, "segment_value", "revenue", *_profit_columns(values), "order_count",

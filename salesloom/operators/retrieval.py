@@ -38,9 +38,12 @@ def search(questions: DataFrame, index: DataFrame, query_col: str = "query",
 
     Each ``query_col`` text is embedded like the documents. ``where`` restricts the index
     before the search (it is pushed to the index scan). A per-question limit is a filter
-    on ``rank`` afterwards.
+    on ``rank`` afterwards. With a ``provider`` the embedded questions are persisted; ``index``
+    should then be a stored table (``read_index``), since it is read several times.
     """
     embedded = embed(questions.select(*keys, query_col), query_col, provider)
+    if provider is not None:
+        embedded.persist()
     rows = index if where is None else index.where(where)
     return top_k(rows, embedded.drop(query_col), top_k_rows, metric,
                  carry=("text", "metadata"), many_equal=provider is None, **limits)

@@ -38,17 +38,15 @@ def write_clean(clean: DataFrame, path: str, fmt: str = "parquet",
                 partition_by_month: bool = False) -> None:
     """Clean transactions as a Parquet or CSV folder.
 
-    With ``partition_by_month`` rows are brought together per month before the write (a
-    month may still span several tasks: rows are spread over a random bucket as well, so
-    one heavy month is no bottleneck).
+    With ``partition_by_month`` rows are brought together per month before the write; a heavy
+    month is split among as many tasks as its size asks for.
     """
     if fmt not in ("parquet", "csv"):
         raise ValueError(f"Unsupported output format '{fmt}'; use parquet or csv.")
     writer_input = clean
     if partition_by_month:
-        writer_input = clean.withColumn("month", F.date_format("date", "yyyy-MM"))
-        spread = F.pmod(F.xxhash64(*clean.columns), F.lit(16))
-        writer_input = writer_input.repartition(F.col("month"), spread)
+        writer_input = (clean.withColumn("month", F.date_format("date", "yyyy-MM"))
+                        .hint("rebalance", F.col("month")))
     writer = writer_input.write.mode("overwrite")
     if partition_by_month:
         writer = writer.partitionBy("month")

@@ -42,13 +42,21 @@ def read_index(spark: SparkSession, path: str, collection: str) -> DataFrame | N
 
 
 def write_index(rows: DataFrame, path: str, collection: str, rebuild: bool = False) -> None:
-    """Merge ``rows`` into the index, or replace it with them."""
+    """Merge ``rows`` into the index, or replace it with them.
+
+    ``rows`` are persisted meanwhile, so that embeddings are computed once. One writer at a
+    time: two would choose the same version.
+    """
     spark, root = rows.sparkSession, _root(path, collection)
     versions = _versions(spark, root)
     current = None if rebuild else read_index(spark, path, collection)
-    merged = rows if current is None else upsert(current, rows)
     version = (versions[-1] if versions else 0) + 1
-    merged.write.mode("overwrite").parquet(f"{root}/v{version:06d}")
+    rows = rows.persist()
+    try:
+        merged = rows if current is None else upsert(current, rows)
+        merged.write.mode("overwrite").parquet(f"{root}/v{version:06d}")
+    finally:
+        rows.unpersist()
 
 
 def cache_index(rows: DataFrame, view: str) -> DataFrame:

@@ -27,8 +27,12 @@ def upsert_stream(raw: DataFrame, id_col: str, path: str, collection: str, check
     rows = index_rows(clean_transactions(raw, columns, date_format), id_col, provider, pos_col)
 
     def merge(batch: DataFrame, _: int) -> None:
-        if not batch.isEmpty():
-            write_index(batch, path, collection)
+        batch.persist()  # embedded once, however often the merge reads it
+        try:
+            if not batch.isEmpty():
+                write_index(batch, path, collection)
+        finally:
+            batch.unpersist()
 
     writer = rows.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
     if once:

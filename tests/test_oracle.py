@@ -9,13 +9,15 @@ import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
 from checks.compare import differences, duck_tables
+from checks.oracle import ORACLE_SQL
+from checks.queries import QUERIES
 from tests.conftest import SMALL
 
 
 # Queries that score vectors; Python runs nowhere else.
 SEARCHES = {"similar_topk", "similar_topk_l2", "report_retrieval", "report_prompts",
             "report_prompts_hybrid_id", "question_prompts"} | {
-    q for q in queries() if q.startswith(("retriev", "search", "rag_context"))}
+    q for q in QUERIES if q.startswith(("retriev", "search", "rag_context"))}
 
 
 @pytest.fixture(scope="module")
@@ -24,10 +26,11 @@ def connection():
 
 
 def test_every_query_has_sql():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(ORACLE_SQL)
+    assert set(QUERIES) <= set(queries()) and set(ORACLE_SQL) <= set(oracle_sql()) <= set(queries())
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_same_result(spark, connection, name):
     def inspect(df):
         text = df._jdf.queryExecution().executedPlan().toString()
