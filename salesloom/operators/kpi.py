@@ -54,14 +54,18 @@ def measures(tx: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def exact_sum(value: Column) -> Column:
+def exact(value: Column) -> Column:
+    return value.try_cast("decimal(30,10)")
+
+
+def exact_sum(value: Column, as_decimal: Column | None = None) -> Column:
     """Sum as double that does not depend on the order of addition.
 
     Amounts are added as decimals of ten places. What fits no decimal (infinities) is added
-    as it is. The sum of no values is NULL.
+    as it is. The sum of no values is NULL. ``as_decimal`` is ``exact(value)``, if known.
     """
-    exact = value.try_cast("decimal(30,10)")
-    total, rest = F.sum(exact).cast("double"), F.sum(F.when(exact.isNull(), value))
+    known = exact(value) if as_decimal is None else as_decimal
+    total, rest = F.sum(known).cast("double"), F.sum(F.when(known.isNull(), value))
     return F.coalesce(total + rest, total, rest)
 
 
