@@ -50,13 +50,15 @@ def _one_pass(tx: DataFrame, by: tuple[str, ...], segments: Sequence[str]) -> Da
     keys = {"day": F.to_date("date"), **{s: F.col(s) for s in segments}}
     pairs = [F.struct(F.lit(kind).alias("kind"), key.cast("string").alias("key"))
              for kind, key in keys.items()]
-    # Decimals are made below the generator: once per row, not once per pair.
+    # Exact terms are made below the generator: once per row, not once per pair.
     rows = tx.select(*by, F.col("amount").cast("double").alias("revenue"), *cost, "date", *segments)
     names = ["revenue", *(["cost"] if cost else [])]
-    rows = rows.select("*", *[kpi.exact(F.col(c)).alias(f"{c}_exact") for c in names])
-    rows = rows.select(*by, *names, *[f"{c}_exact" for c in names], "date",
-                       F.inline(F.array(*pairs)))
-    totals = [kpi.exact_sum(F.col(c), F.col(f"{c}_exact")).alias(c) for c in names]
+    terms = {c: (f"{c}_units", f"{c}_fine") for c in names}
+    made = [term.alias(name) for c in names
+            for term, name in zip(kpi.exact_terms(F.col(c)), terms[c])]
+    rows = rows.select("*", *made).select(
+        *by, *names, *[name for c in names for name in terms[c]], "date", F.inline(F.array(*pairs)))
+    totals = [kpi.exact_sum(F.col(c), tuple(F.col(name) for name in terms[c])).alias(c) for c in names]
     return rows.groupBy(*by, "kind", "key").agg(
         *totals, F.count(F.lit(1)).alias("n_rows"), F.count("revenue").alias("order_count"),
         F.min("date").alias("date_min"), F.max("date").alias("date_max"))

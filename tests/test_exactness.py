@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import random
+from decimal import Decimal
 
 import pandas as pd
 import pytest
@@ -26,6 +27,14 @@ def test_sums_do_not_depend_on_partitions(spark):
     assert infinite.agg(kpi.exact_sum(F.col("x"))).first()[0] == float("inf")
 
 
+def test_sums_of_fine_large_and_negative_values(spark):
+    """What ten-thousandths in a long cannot hold is added as decimals, in the same sum."""
+    values = ["0.0000001", "-1234.5678", "99999999999.25", "0.00005", "-0.0001", "1000000000000.5", "7"]
+    rows = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "x double")
+    assert rows.repartition(3).agg(kpi.exact_sum(F.col("x"))).first()[0] == float(sum(map(Decimal, values)))
+    assert rows.where("x IS NULL").agg(kpi.exact_sum(F.col("x"))).first()[0] is None
+
+
 @pytest.mark.parametrize("fmt, texts", [
     ("%d %b %Y", ["03 Feb 2024", "31 DEC 1999", "30 Feb 2024", "3 Febr 2024"]),
     ("%B %d, %Y", ["February 03, 2024", "march 9, 2021", "Feb 3, 2024"]),
