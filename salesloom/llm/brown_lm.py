@@ -1,46 +1,71 @@
 """Brown class-based bigram model: words fall into classes by exchange, and a text's probability is
 that of its classes in order times that of its words in their classes.
 
-Tokens are the words, A-Z lower-cased, and one end per text. Counts cover all training texts.
-
-* The most frequent words of at most ``HEAD_BYTES`` bytes are broadcast with their counts, at most
-  ``HEAD`` of them: as many whole bands of counts (``BANDS`` to a doubling) as fit. A table of proven size. Counts of all rarer words come by a join, on rows of rare words only.
-* The ``CLUSTERED`` most frequent words are exchanged between ``CLASSES`` classes. A round counts,
-  over all training texts, the classes before and after each of them; then each word moves to the
-  class that explains its neighbours best, given all others (half of the words a round, so that
-  pairs don't change places for ever). What a round collects has a row for a word and class at
-  most. The end is a class of its own, all other words are the class of rare words.
-* Class transitions are smoothed toward class shares; words in the rare class by one, so that an
-  unknown word has what a word seen never has.
+Tokens are the words, A-Z lower-cased, and one end per text. Counts and classes cover all training texts
+and all their words.
+
+* The most frequent words are the head: at most ``HEAD`` of them with at most ``HEAD_BYTES`` bytes each on
+  average, as many whole bands of counts (``BANDS`` to a doubling) as fit. A table of proven size, which is
+  broadcast with its counts and classes. Head and tail differ in how they travel, not in what they get.
+* Texts are encoded once: ranks of head words, and ids of the others (63 bits: a hash, and the class the word
+  starts in). The uses of a tail word, its neighbours on both sides, are one row of a table.
+* A round counts the classes before and after each word: pairs of head words from the encoded texts, all
+  others from the tail's uses, where a tail word tells its tail neighbours its class by a message. A row
+  per word then chooses the class that explains the neighbours best, given all others; of the rest only
+  the matrix of classes is sent (half of the words a round, so that pairs don't change places for ever).
+  Rounds end when both halves together move less than ``SETTLED`` of the tokens, or after ``ROUNDS``.
+* The end is a class of its own. Class transitions are smoothed toward class shares. An unknown word is in the
+  class with most words seen once, whose words are smoothed by one: it has what a word never seen has.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from hashlib import blake2b
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from salesloom.llm.storage import cut
+from salesloom.llm.storage import cut, prepare
 
 HEAD, HEAD_BYTES, BANDS = 262_144, 64, 8
-CLUSTERED, CLASSES, ROUNDS = 4_096, 32, 3
+CLASSES, ROUNDS, SETTLED = 32, 12, 0.02
 SMOOTHING = 10.0
 END = ""
-_END_CLASS, _RARE_CLASS = 0, CLASSES + 1
+_END_CLASS, _WIDTH = 0, CLASSES + 1
+#: Cells of a word: a class on the left, a class on the right, and its own class. A cell has its number in 32 bits.
+_LEFT, _RIGHT, _OWN, _CELLS = 0, _WIDTH, 2 * _WIDTH, 128
+_COUNT_BITS = 25
 _FLUSH = 400_000
+_ROWS = 1_000
 
 
 def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
+def word_id(word: bytes) -> int:
+    """Below zero; the last bits are the class to start with, less one."""
+    mixed = int.from_bytes(blake2b(word, digest_size=8).digest(), "little") >> 1
+    return (mixed - mixed % CLASSES + zlib.crc32(word[-3:]) % CLASSES) - (1 << 63)
+
+
+def _start(ids: np.ndarray) -> np.ndarray:
+    return ids % CLASSES + 1
+
+
+def _turn(ids: np.ndarray) -> np.ndarray:
+    return ids // CLASSES % 2
+
+
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def out() -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(
@@ -65,166 +90,364 @@ def word_counts(texts: DataFrame, text_col: str) -> DataFrame:
     return rows.groupBy("word").agg(F.sum("n").alias("n"))
 
 
-class _Classes:
-    """Head words with their ranks; classes of the first ranks. Travels to the tasks."""
+def _encoded(shared):
+    """(.., ranks, tails): 32-bit ranks of a text's tokens, -1 outside the head; 64-bit ids of those outside."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head = {w: i for i, w in enumerate(shared.value.encode().split(b"\n"))} if shared.value else {}
+        ids: dict[bytes, int] = {}
+        for batch in batches:
+            ranks, tails = [], []
+            for value in batch.column(2):
+                words = tokens(value.as_py())
+                own = np.fromiter(map(head.get, words, repeat(-1)), dtype=np.int32, count=len(words))
+                outside = [words[k] for k in np.flatnonzero(own < 0).tolist()]
+                if len(ids) > _FLUSH:
+                    ids.clear()
+                for w in outside:
+                    if w not in ids:
+                        ids[w] = word_id(w)
+                ranks.append(own.tobytes())
+                tails.append(np.array([ids[w] for w in outside], dtype=np.int64).tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(ranks, pa.binary()), pa.array(tails, pa.binary())],
+                names=["id", "held_out", "ranks", "tails"])
 
-    def __init__(self, head: list[str], classes: np.ndarray) -> None:
-        self.head, self.classes = "\n".join(head), classes
-        self._ranks: dict[bytes, int] | None = None
+    return run
 
-    def ranks(self, text: str | None) -> np.ndarray:
-        """Rank of each token, -1 for words outside the head; without the end."""
-        if self._ranks is None:
-            words = self.head.encode().split(b"\n") if self.head else []
-            self._ranks = {w: i for i, w in enumerate(words)}
-        return np.array(list(map(self._ranks.get, tokens(text), repeat(-1))), dtype=np.int64)
 
-    def of(self, ranks: np.ndarray) -> np.ndarray:
-        """Classes of a text's tokens, the end included."""
-        out = np.full(len(ranks) + 1, _RARE_CLASS)
-        inside = (ranks >= 0) & (ranks < len(self.classes))
-        out[:-1][inside] = self.classes[ranks[inside]]
-        out[-1] = _END_CLASS
-        return out
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for k in range(0, batch.num_rows, _ROWS):
+            yield batch.slice(k, _ROWS)
+
+
+def _numbers(column: pa.Array, kind: type) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=kind)
+
+
+def _sequence(ranks: pa.Array, tails: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ranks, ids (below zero) and ends of texts one after the other, and the place behind each text's end."""
+    out = _numbers(ranks, np.int32).astype(np.int64)
+    out[out < 0] = _numbers(tails, np.int64)
+    stops = np.cumsum(pc.binary_length(ranks).to_numpy(zero_copy_only=False) // 4)
+    return np.insert(out, stops, end), stops + np.arange(1, len(stops) + 1)
+
+
+def _packed_rows(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """Distinct keys with the bytes of all their values."""
+    order = np.argsort(keys, kind="stable")
+    keys, values = keys[order], np.ascontiguousarray(values[order])
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.empty(0, dtype=np.int64)
+    size = values.nbytes // max(1, len(values))
+    offsets = (np.append(first, len(keys)) * size).astype(np.int64)
+    packed = pa.LargeBinaryArray.from_buffers(
+        pa.large_binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(values)])
+    return keys[first], packed.cast(pa.binary())
 
 
-def _contexts(shared):
-    """Counts of (row, side, class): row is a clustered word's rank, or its class for the other tokens."""
+def _cells(words: np.ndarray, cells: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows (word, cells); a number too large for its bits takes several cells."""
+    most = (1 << _COUNT_BITS) - 1
+    while len(words):
+        part = np.minimum(counts, most)
+        for k in range(0, len(words), 4_000_000):
+            here = slice(k, k + 4_000_000)
+            own, packed = _packed_rows(words[here], (cells[here] << _COUNT_BITS | part[here]).astype(np.uint32))
+            yield pa.RecordBatch.from_arrays([pa.array(own), packed], names=["word", "cells"])
+        left = counts > most
+        words, cells, counts = words[left], cells[left], (counts - part)[left]
+
+
+def _dense_cells(counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    at = np.flatnonzero(counts)
+    yield from _cells(at // _OWN, at % _OWN, counts[at].astype(np.int64))
+
+
+def _head_contexts(shared):
+    """Cells of head words (and the end, the rank behind them) next to head words."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        n, width = len(model.classes), CLASSES + 2
-        counts = np.zeros(((n + 2) * 2 * width,), dtype=np.int64)
-        for batch in batches:
-            for value in batch.column(0):
-                ranks = model.ranks(value.as_py())
-                classes = model.of(ranks)
-                own = np.full(len(classes), n + 1)
-                inside = (ranks >= 0) & (ranks < n)
-                own[:-1][inside] = ranks[inside]
-                own[-1] = n
-                left = np.concatenate(([_END_CLASS], classes[:-1]))
-                np.add.at(counts, own * 2 * width + left, 1)
-                np.add.at(counts, own[:-1] * 2 * width + width + classes[1:], 1)
-        at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], names=["cell", "n"])
+        classes = shared.value
+        counts = np.zeros(len(classes) * _OWN, dtype=np.int32)
+        for batch in _slices(batches):
+            right, _ = _sequence(batch.column(0), batch.column(1), len(classes) - 1)
+            left = np.concatenate(([len(classes) - 1], right[:-1]))
+            both = (left >= 0) & (right >= 0)
+            left, right = left[both], right[both]
+            np.add.at(counts, right * _OWN + _LEFT + classes[left], 1)
+            np.add.at(counts, left * _OWN + _RIGHT + classes[right], 1)
+        yield from _dense_cells(counts)
 
     return run
 
 
-def _context_table(texts: DataFrame, text_col: str, model: _Classes) -> np.ndarray:
-    """[row, side, class]: how often a class stands left (0) and right (1) of a row's tokens."""
-    shared = texts.sparkSession.sparkContext.broadcast(model)
-    rows = texts.select(F.col(text_col).cast("string")).mapInArrow(_contexts(shared), "cell long, n long")
-    cells = rows.groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    shared.destroy()
-    out = np.zeros((len(model.classes) + 2) * 2 * (CLASSES + 2))
-    out[cells.column("cell").to_numpy()] = cells.column("n").to_numpy()
-    return out.reshape(-1, 2, CLASSES + 2)
+def _uses(end: int):
+    """(word, uses): of every tail word the ranks or ids on its left and right, in pairs."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _slices(batches):
+            words, _ = _sequence(batch.column(0), batch.column(1), end)
+            at = np.flatnonzero(words < 0)
+            own, packed = _packed_rows(words[at], np.stack((np.concatenate(([end], words))[at], words[at + 1]), axis=1))
+            yield pa.RecordBatch.from_arrays([pa.array(own), packed], names=["word", "uses"])
+
+    return run
+
+
+def _flat(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers in a column of lists of bytes, and each one's row."""
+    inner = column.flatten()
+    sizes = pc.binary_length(inner).to_numpy(zero_copy_only=False) // np.dtype(kind).itemsize
+    return _numbers(inner, kind), np.repeat(pc.list_parent_indices(column).to_numpy(), sizes)
+
+
+def _tail_contexts(shared):
+    """Cells of tail words next to head words, of head words next to tail words, and messages between tail words.
+
+    A pair of tail words is a use of both; each tells the other its class.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classes = shared.value
+        counts = np.zeros(len(classes) * _OWN, dtype=np.int32)
+        for batch in _slices(batches):
+            words, own = batch.column(0).to_numpy(), batch.column(2).to_numpy().astype(np.int64)
+            numbers, row = _flat(batch.column(1), np.int64)
+            row, found = row[::2], [(words, _OWN + own)]
+            for near, mine, theirs in ((numbers[::2], _LEFT, _RIGHT), (numbers[1::2], _RIGHT, _LEFT)):
+                head = near >= 0
+                found.append((words[row[head]], mine + classes[near[head]]))
+                found.append((near[~head], theirs + own[row[~head]]))
+                np.add.at(counts, near[head] * _OWN + theirs + own[row[head]], 1)
+            to, cells = (np.concatenate(x) for x in zip(*found))
+            yield from _cells(to, cells, np.ones(len(to), dtype=np.int64))
+        yield from _dense_cells(counts)
 
+    return run
+
+
+def _counted(batch: pa.RecordBatch) -> np.ndarray:
+    """[row, cell] numbers of a batch whose second column has lists of cells."""
+    cells, row = _flat(batch.column(1), np.uint32)
+    at = row * _CELLS + (cells >> _COUNT_BITS)
+    counts = np.bincount(at, cells & ((1 << _COUNT_BITS) - 1), batch.num_rows * _CELLS)
+    return counts.reshape(-1, _CELLS).astype(np.int64)
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in _slices(batches):
+        counts = _counted(batch)
+        row, cell = np.nonzero(counts)
+        yield from _cells(batch.column(0).to_numpy()[row], cell, counts[row, cell])
 
-def _transitions(table: np.ndarray, classes: np.ndarray) -> np.ndarray:
-    """[left class, class] counts from a context table."""
-    out = np.zeros((CLASSES + 2, CLASSES + 2))
-    rows = np.concatenate((classes, [_END_CLASS, _RARE_CLASS]))
-    np.add.at(out.T, rows, table[:, 0, :])
-    return out
 
+def _with_class(batch: pa.RecordBatch, head: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words, their classes, and [row, cell] numbers of a batch."""
+    words, counts = batch.column(0).to_numpy(), _counted(batch)
+    own = counts[:, _OWN:_OWN + _WIDTH].argmax(axis=1)
+    own[words >= 0] = head[words[words >= 0]]
+    return words, own, counts
 
-def exchange(table: np.ndarray, classes: np.ndarray, turn: int) -> np.ndarray:
-    """Classes after every second word has moved to where its neighbours are likeliest."""
-    counts = _transitions(table, classes) + 0.1
-    after = np.log(counts / counts.sum(axis=1, keepdims=True))
-    own = np.log(counts.sum(axis=0))
-    words = table[:-2]
-    scores = words[:, 1] @ after.T + words[:, 0] @ after - words[:, 0].sum(axis=1)[:, None] * own
-    best = scores[:, 1:_RARE_CLASS].argmax(axis=1) + 1
-    moving = np.arange(len(classes)) % 2 == turn % 2
-    return np.where(moving, best, classes)
+
+def _pairs(shared):
+    """Cells of the matrix of classes."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros((_WIDTH, _WIDTH), dtype=np.int64)
+        for batch in _slices(batches):
+            _, own, found = _with_class(batch, shared.value)
+            np.add.at(counts, own, found[:, _LEFT:_LEFT + _WIDTH])
+        right, left = np.nonzero(counts)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(left * _WIDTH + right), pa.array(counts[right, left])], names=["cell", "n"])
+
+    return run
+
+
+def gains(matrix: np.ndarray) -> np.ndarray:
+    """[cell, class]: what a neighbour adds to the likelihood of a word in a class (1 to ``CLASSES``)."""
+    counts = matrix + 0.1
+    after, own = np.log(counts / counts.sum(axis=1, keepdims=True)), np.log(counts.sum(axis=0))
+    return np.concatenate((after - own, after.T))[:, 1:]
+
+
+def _chosen(shared):
+    """(word, n, class, moved) of the words: those of the turn take the class that explains their neighbours best."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head, ids, gain, turn = shared.value
+        for batch in _slices(batches):
+            words, own, counts = _with_class(batch, head)
+            best = (counts[:, :_OWN] @ gain).argmax(axis=1) + 1
+            names = words.copy()
+            names[words >= 0] = ids[words[words >= 0]]
+            new = np.where((_turn(names) == turn % 2) & (own != _END_CLASS), best, own)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(words), pa.array(counts[:, _LEFT:_RIGHT].sum(axis=1)), pa.array(new.astype(np.int64)),
+                 pa.array(new != own)], names=["word", "n", "class", "moved"])
+
+    return run
 
 
 class BrownModel:
-    """A trained model; ``vocabulary`` stays a table."""
-
-    def __init__(self, texts: DataFrame, text_col: str = "text") -> None:
-        self.vocabulary = cut(word_counts(texts, text_col))
-        total, distinct = self.vocabulary.agg(F.sum("n"), F.count("*")).first()
-        self.tokens, self.distinct = total or 0, distinct
-        words, self.counts = self._head()
-        start = np.array([1 + zlib.crc32(w.encode()[-3:]) % CLASSES for w in words[:CLUSTERED]], dtype=np.int64)
-        self.classes = _Classes(words, start)
+    """A trained model. ``head`` are words with ``counts`` and ``classes`` (the end is behind them), ``tail`` a table
+    (word, n, class) of all others. ``encoded`` are the rows (id, held_out, ranks, tails), held out ones as well."""
+
+    def __init__(self, rows: DataFrame) -> None:
+        spark = rows.sparkSession
+        prepare(spark)
+        vocabulary = cut(word_counts(rows.filter("not held_out"), "text"))
+        total, self.distinct = vocabulary.agg(F.sum("n"), F.count("*")).first()
+        self.tokens = total or 0
+        self.head, self.counts = self._head(vocabulary)
+        self.ids = np.array([word_id(w.encode()) for w in self.head] + [0], dtype=np.int64)
+        self.classes = np.append(_start(self.ids[:-1]), _END_CLASS)
+        self.encoded = self._encode(rows)
+        train = self.encoded.filter("not held_out").select("ranks", "tails")
+        uses = train.filter("octet_length(tails) > 0").mapInArrow(_uses(len(self.head)), "word long, uses binary")
+        self.uses = cut(uses.groupBy("word").agg(F.collect_list("uses").alias("uses")))
+        self.tail = None
+        self.moves: list[float] = []
+        contexts = self._contexts(train)
+        matrix = self._matrix(contexts)
         for turn in range(ROUNDS):
-            table = _context_table(texts, text_col, self.classes)
-            self.classes = _Classes(words, exchange(table, self.classes.classes, turn))
-        table = _context_table(texts, text_col, self.classes)
-        self._estimate(_transitions(table, self.classes.classes))
-
-    def _head(self) -> tuple[list[str], np.ndarray]:
-        """Words with counts, the most frequent first: as many bands of counts as hold ``HEAD`` words."""
-        short = self.vocabulary.filter((F.col("word") != END) & (F.octet_length("word") <= HEAD_BYTES))
+            self._choose(contexts, matrix, turn)
+            contexts = None
+            spark.sparkContext._jvm.System.gc()  # Spark removes files of tables that are gone when memory is collected
+            contexts = self._contexts(train)
+            matrix = self._matrix(contexts)
+            if turn and sum(self.moves[-2:]) < SETTLED:
+                break
+        self._estimate(matrix)
+
+    def _head(self, vocabulary: DataFrame) -> tuple[list[str], np.ndarray]:
+        """Words with counts, the most frequent first: as many bands of counts as fit."""
+        words = vocabulary.filter(F.col("word") != END)
         band = F.floor(F.log2("n") * BANDS)
-        bands = sorted(short.groupBy(band.alias("band")).count().collect(), reverse=True)
-        least, held = None, 0
-        for value, words in bands:
-            held += words
-            if held > HEAD:
+        bands = words.groupBy(band.alias("band")).agg(F.count("*"), F.sum(F.octet_length("word"))).collect()
+        least, held, size = None, 0, 0
+        for value, number, octets in sorted(bands, reverse=True):
+            held, size = held + number, size + octets
+            if held > HEAD or size > HEAD * HEAD_BYTES:
                 break
             least = value
         if least is None:
             return [], np.empty(0, dtype=np.int64)
-        table = short.filter(band >= least).toArrow()
-        words, counts = table.column("word").to_pylist(), table.column("n").to_numpy()
-        order = sorted(range(len(words)), key=lambda i: (-counts[i], words[i]))
-        return [words[i] for i in order], counts[order]
+        table = words.filter(band >= least).toArrow()
+        names, counts = table.column("word").to_pylist(), table.column("n").to_numpy()
+        order = sorted(range(len(names)), key=lambda i: (-counts[i], names[i]))
+        return [names[i] for i in order], counts[order]
+
+    def _encode(self, rows: DataFrame) -> DataFrame:
+        spark = rows.sparkSession
+        folder = f"{spark.sparkContext.getCheckpointDir()}/encoded-{uuid.uuid4().hex}"
+        shared = spark.sparkContext.broadcast("\n".join(self.head))
+        encoded = rows.mapInArrow(_encoded(shared), "id long, held_out boolean, ranks binary, tails binary")
+        encoded.write.option("compression", "zstd").parquet(folder)
+        shared.destroy()
+        return spark.read.schema(encoded.schema).parquet(folder)
+
+    def _contexts(self, train: DataFrame) -> DataFrame:
+        """(word, cells) of all words for the classes as they are."""
+        shared = train.sparkSession.sparkContext.broadcast(self.classes)
+        if self.tail is None:
+            uses = self.uses.withColumn("class", F.pmod("word", F.lit(CLASSES)) + 1)
+        else:
+            uses = self.uses.join(self.tail.select("word", "class"), "word").select("word", "uses", "class")
+        schema = "word long, cells binary"
+        found = train.mapInArrow(_head_contexts(shared), schema).union(uses.mapInArrow(_tail_contexts(shared), schema))
+        found = found.groupBy("word").agg(F.collect_list("cells").alias("cells")).mapInArrow(_merged, schema)
+        out = cut(found.select("word", F.array("cells").alias("cells")))
+        shared.destroy()
+        return out
+
+    def _matrix(self, contexts: DataFrame) -> np.ndarray:
+        """[left class, class] counts."""
+        shared = contexts.sparkSession.sparkContext.broadcast(self.classes)
+        cells = contexts.mapInArrow(_pairs(shared), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+        shared.destroy()
+        out = np.zeros(_WIDTH * _WIDTH)
+        out[cells.column("cell").to_numpy()] = cells.column("n").to_numpy()
+        return out.reshape(_WIDTH, _WIDTH)
+
+    def _choose(self, contexts: DataFrame, matrix: np.ndarray, turn: int) -> None:
+        shared = contexts.sparkSession.sparkContext.broadcast((self.classes, self.ids, gains(matrix), turn))
+        words = cut(contexts.mapInArrow(_chosen(shared), "word long, n long, class long, moved boolean"))
+        shared.destroy()
+        moved = words.agg(F.sum(F.when(F.col("moved"), F.col("n")).otherwise(0))).first()[0] or 0
+        self.moves.append(moved / max(1, self.tokens))
+        head = words.filter("word >= 0").select("word", "class").toArrow()
+        self.classes = self.classes.copy()
+        self.classes[head.column("word").to_numpy()] = head.column("class").to_numpy()
+        self.tail = words.filter("word < 0").select("word", "n", "class")
 
     def _estimate(self, counts: np.ndarray) -> None:
-        clustered = len(self.classes.classes)
         size = counts.sum(axis=0)
         share = (size + 1) / (size.sum() + len(size))
         self.transition = np.log10((counts + SMOOTHING * share) / (counts.sum(axis=1, keepdims=True) + SMOOTHING))
-        own = np.zeros(CLASSES + 2)
-        np.add.at(own, self.classes.classes, self.counts[:clustered])
-        #: Of the rare class: words in training, and how many different ones.
-        rare_tokens = self.tokens - int(own.sum()) - int(size[_END_CLASS])
-        rare_words = max(0, self.distinct - clustered - 1)
-        self.rare_total = rare_tokens + rare_words + 1
-        emission = np.log10((self.counts + 1) / self.rare_total)
-        emission[:clustered] = np.log10(self.counts[:clustered] / own[self.classes.classes])
-        self.emission = emission
+        words, once = np.zeros(_WIDTH), np.zeros(_WIDTH)
+        np.add.at(words, self.classes[:-1], 1)
+        np.add.at(once, self.classes[:-1], self.counts == 1)
+        for name, n, few in self.tail.groupBy("class").agg(F.count("*"), F.count(F.when(F.col("n") == 1, 1))).collect():
+            words[name] += n
+            once[name] += few
+        #: The class of unknown words, and the totals words are divided by in their classes.
+        self.open = int(once[1:].argmax()) + 1
+        self.added = np.zeros(_WIDTH)
+        self.added[self.open] = 1
+        self.totals = np.maximum(1, size + self.added * (words + 1))
+        own = self.classes[:-1]
+        self.emission = np.log10((self.counts + self.added[own]) / self.totals[own])
         self.base_total = self.tokens + self.distinct + 1
         self.base = np.log10((self.counts + 1) / self.base_total)
         self.base_end = math.log10((int(size[_END_CLASS]) + 1) / self.base_total)
 
-    def head_scores(self):
-        """Scores of what the head covers; the other words with their counts in the text."""
-        schema = pa.schema([("id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()),
-                            ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()),
-                            ("rare", pa.map_(pa.string(), pa.int64()))])
-
-        def make(shared):
-            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                classes, transition, emission, base, base_end, end_known = shared.value
-                for batch in batches:
-                    out: list[list] = [[] for _ in range(5)]
-                    for value in batch.column(2):
-                        text = value.as_py()
-                        ranks = classes.ranks(text)
-                        path = classes.of(ranks)
-                        left = np.concatenate(([_END_CLASS], path[:-1]))
-                        known = ranks[ranks >= 0]
-                        rare = Counter(w.decode() for w, r in zip(tokens(text), ranks.tolist()) if r < 0) \
-                            if len(known) < len(ranks) else {}
-                        out[0].append(len(path))
-                        out[1].append(len(known) + end_known)
-                        out[2].append(float(base[known].sum()) + base_end)
-                        out[3].append(float(transition[left, path].sum() + emission[known].sum()))
-                        out[4].append(list(rare.items()))
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column(0), batch.column(1), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()),
-                         pa.array(out[2], pa.float64()), pa.array(out[3], pa.float64()),
-                         pa.array(out[4], schema.field("rare").type)], schema=schema)
-            return run
-
-        return make
+
+def _head_scores(shared):
+    """Scores of what the head covers, and the tail words, in order: (place, word, class on the left and right).
+
+    A neighbour in the tail has the class -1; the left one of two counts the step between them.
+    """
+    schema = pa.schema([("id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()),
+                        ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()),
+                        ("tail", pa.list_(pa.struct([("place", pa.int64()), ("word", pa.int64()),
+                                                     ("left", pa.int64()), ("right", pa.int64())])))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classes, transition, emission, base, base_end, end_known = shared.value
+        emission, base = np.append(emission, 0.0), np.append(base, base_end)
+        for batch in _slices(batches):
+            words, stops = _sequence(batch.column(2), batch.column(3), len(classes) - 1)
+            starts = np.concatenate(([0], stops[:-1]))
+            known = words >= 0
+            path = np.where(known, classes[np.maximum(words, 0)], -1)
+            left = np.concatenate(([_END_CLASS], path[:-1]))
+            ranks = np.maximum(words, 0)
+            own = np.where(known, emission[ranks], 0.0)
+            step = np.where((path >= 0) & (left >= 0), transition[left, path], 0.0)
+            n_known = np.add.reduceat(known.astype(np.int64), starts) - 1 + end_known
+            at = np.flatnonzero(~known)
+            tail = pa.StructArray.from_arrays(
+                [pa.array(at), pa.array(words[at]), pa.array(left[at]), pa.array(path[at + 1])],
+                fields=list(schema.field("tail").type.value_type))
+            offsets = np.concatenate(([0], np.searchsorted(at, stops))).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(stops - starts), pa.array(n_known),
+                 pa.array(np.add.reduceat(np.where(known, base[ranks], 0.0), starts)),
+                 pa.array(np.add.reduceat(own + step, starts)),
+                 pa.ListArray.from_arrays(pa.array(offsets), tail, type=schema.field("tail").type)], schema=schema)
+
+    return run
+
+
+def _tail_steps(shared):
+    """(row, steps): the transitions into and out of a row's tail words; ``uses`` are (place, class, left, right)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        transition = shared.value
+        for batch in batches:
+            row = pc.list_parent_indices(batch.column(1)).to_numpy()
+            place, own, left, right = (x.to_numpy(zero_copy_only=False) for x in batch.column(1).flatten().flatten())
+            follows = np.concatenate((own[1:], [0]))
+            steps = np.where(left >= 0, transition[left, own], 0.0) + transition[own, np.where(right >= 0, right, follows)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(np.bincount(row, steps, batch.num_rows))], names=["row", "steps"])
+
+    return run
 
 
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7,
@@ -237,24 +460,28 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     spark = docs.sparkSession
     held = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % folds == held_fold
-    model = BrownModel(docs.filter(~held), text_col)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), held.alias("held_out"),
-                       F.col(text_col).cast("string").alias("text"))
+    model = BrownModel(docs.select(F.col(id_col).cast("long").alias("id"), held.alias("held_out"),
+                                   F.col(text_col).cast("string").alias("text")))
     shared = spark.sparkContext.broadcast((model.classes, model.transition, model.emission, model.base,
                                            model.base_end, int(model.tokens > 0)))
-    scored = cut(rows.mapInArrow(model.head_scores()(shared), (
-        "id long, held_out boolean, n_tokens long, n_known long, base double, score double, rare map<string,long>"))
+    scored = cut(model.encoded.mapInArrow(_head_scores(shared), (
+        "id long, held_out boolean, n_tokens long, n_known long, base double, score double, "
+        "tail array<struct<place:long,word:long,left:long,right:long>>"))
         .withColumn("row", F.monotonically_increasing_id()))
     shared.destroy()
-    rare = scored.select("row", F.explode("rare").alias("word", "times"))
-    rare = rare.join(model.vocabulary.filter(F.col("word") != END), "word", "left").withColumn(
-        "c", F.coalesce("n", F.lit(0)))
-    sums = rare.groupBy("row").agg(
-        F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("known"),
-        F.sum(F.col("times") * F.log10((F.col("c") + 1) / F.lit(float(model.base_total)))).alias("base_rare"),
-        F.sum(F.col("times") * F.log10((F.col("c") + 1) / F.lit(float(model.rare_total)))).alias("score_rare"))
-    out = scored.drop("rare").join(sums, "row", "left")
+    added, totals = (F.array(*[F.lit(float(x)) for x in values]) for values in (model.added, model.totals))
+    tail = scored.select("row", F.inline("tail")).join(model.tail, "word", "left")
+    tail = tail.withColumn("n", F.coalesce("n", F.lit(0))).withColumn("class", F.coalesce("class", F.lit(model.open)))
+    own = F.log10((F.col("n") + F.get(added, F.col("class").cast("int"))) / F.get(totals, F.col("class").cast("int")))
+    sums = cut(tail.groupBy("row").agg(
+        F.array_sort(F.collect_list(F.struct("place", "class", "left", "right"))).alias("uses"),
+        F.sum((F.col("n") > 0).cast("long")).alias("known"),
+        F.sum(F.log10((F.col("n") + 1) / F.lit(float(model.base_total)))).alias("base_tail"),
+        F.sum(own).alias("own_tail")))
+    shared = spark.sparkContext.broadcast(model.transition)
+    steps = sums.select("row", "uses").mapInArrow(_tail_steps(shared), "row long, steps double")
+    out = scored.drop("tail").join(sums.drop("uses"), "row", "left").join(steps, "row", "left")
     return out.select("id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
                       F.lit(model.tokens).cast("long").alias("train_tokens"),
-                      (F.col("base") + F.coalesce("base_rare", F.lit(0.0))).alias("base_score"),
-                      (F.col("score") + F.coalesce("score_rare", F.lit(0.0))).alias("score"))
+                      (F.col("base") + F.coalesce("base_tail", F.lit(0.0))).alias("base_score"),
+                      (F.col("score") + F.coalesce("own_tail", F.lit(0.0)) + F.coalesce("steps", F.lit(0.0))).alias("score"))

@@ -330,6 +330,19 @@ def test_op10_base_and_model(docs, rows):
     assert all(r.score <= 1e-9 for r in got)
 
 
+def test_op10_classes_of_all_words(spark, monkeypatch):
+    """Words outside the broadcast head have classes and transitions like all others."""
+    from salesloom.llm import brown_lm
+    docs = spark.createDataFrame(planted(), SCHEMA)
+    def scores():
+        return sorted(((r.id is None, r.id, r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6))
+                       for r in brown_lm.score_texts(docs).collect()), key=str)
+    whole = scores()
+    for head in (40, 0):
+        monkeypatch.setattr(brown_lm, "HEAD", head)
+        assert scores() == whole
+
+
 def test_pipeline_next_to_brute_force(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     kept = {r.id for r in quality_rules.quality_verdicts(docs).filter("kept").collect()}
