@@ -3,6 +3,10 @@
 A page is cut into blocks at block-level tags. A block's features are its words, the share of them
 in links, the same of its neighbours, and where it stands (inside containers that are no content,
 inside the article, heading). The tree is trained on a small labelled table of such blocks.
+
+A keyword in a container's class, id or role puts its text outside, unless the container is a wrapper: it
+has half of the page's words by itself, and holds the article or nearly all that is left. Elements whose
+text is dropped end at their close tag, at the close of an element around them, or where HTML ends them.
 """
 
 from __future__ import annotations
@@ -18,19 +22,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Elements by role.
-_DROPPED = "script|style|noscript|template|title|textarea|select|option|svg|iframe|object"
+_RAW = "script|style|title|textarea|iframe"
+_DROPPED = frozenset("noscript template select option svg object".split())
+_VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCKS = frozenset("""address article aside blockquote body br center dd details dialog div dl dt fieldset figcaption
 figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table
 tbody td tfoot th thead tr ul button label input""".split())
 _CONTAINERS = frozenset("""article aside blockquote body details dialog div dl fieldset figure footer form header
 main menu nav ol section table ul button label""".split())
 _OUTSIDE = frozenset("aside button dialog fieldset footer form header label menu nav".split())
+#: Inside these, the tags that cannot stand in them, and so end them.
+_ENDED_BY = {"option": _BLOCKS | {"option", "optgroup", "main"}, "select": _BLOCKS - {"hr", "button", "div", "legend", "label"},
+             "svg": _BLOCKS | {"span", "b", "i", "em", "strong", "img"}}
+_FOREIGN = frozenset(("foreignobject", "desc"))
+WRAPPER_WORDS, WRAPPER_REST = 50, 10
 _MARKED = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|consent|cookies?|disqus|footer|header|menu|nav\w*|"
     r"newsletter|notice|pagination|popup|promo\w*|related|replies|respond|share|sharing|sidebar|social|sponsor\w*|"
     r"subscribe|toolbar|widget)(?:$|[\s_-])", re.IGNORECASE)
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({_DROPPED})\b[^<>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9]*)([^<>]*)>|<[/!?][^<>]*>",
+    rf"<!--.*?(?:-->|\Z)|<({_RAW})(?=[\s/>])(?!\s*/>|[^<>]*[\s\x22\x27]/>)[^<>]*>.*?(?:</\1\s*>|\Z)|"
+    r"<(/?)([a-zA-Z][^\s/<>]*)([^<>]*)>|<[/!?][^<>]*>",
     re.DOTALL | re.IGNORECASE)
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 
@@ -69,6 +81,7 @@ class Block:
     outside: bool
     article: bool
     heading: bool
+    marks: tuple = ()
 
     @property
     def links(self) -> float:
@@ -80,6 +93,14 @@ class _Open:
     tag: str
     outside: bool
     article: bool
+    marks: tuple = ()
+
+
+@dataclass
+class _Mark:
+    """A container with a keyword; it is a wrapper if it is, or has inside, what has the article."""
+
+    wrapper: bool
 
 
 @dataclass
@@ -94,8 +115,13 @@ class _Page:
     heading: bool = False
     marked: bool = False
     head: bool = False
+    #: Names of open elements; those in an element whose text is dropped, itself first.
+    open: list[str] = field(default_factory=list)
+    dropped: list[str] = field(default_factory=list)
 
     def add(self, text: str) -> None:
+        if self.dropped:
+            return
         self.parts.append(text)
         if self.in_link:
             self.linked.append(text)
@@ -106,10 +132,40 @@ class _Page:
             top = self.stack[-1]
             linked = len(html.unescape(" ".join(self.linked)).split())
             words = text.count(" ") + 1
-            self.blocks.append(Block(text, words, min(linked, words), top.outside or self.marked, top.article, self.heading))
+            self.blocks.append(Block(text, words, min(linked, words), top.outside or self.marked, top.article, self.heading,
+                                     top.marks))
         self.parts, self.linked = [], []
 
+    def drop(self, closing: bool, name: str, attributes: str) -> bool:
+        """Whether a tag belongs to an element whose text is dropped; keeps the names of open elements."""
+        bare = attributes.strip() == "/" or attributes.endswith(("\"/", "'/", " /", "\t/", "\n/"))
+        if self.dropped:
+            if closing:
+                if name in self.dropped:
+                    del self.dropped[len(self.dropped) - 1 - self.dropped[::-1].index(name):]
+                    return True
+                if name not in self.open:
+                    return True
+                self.dropped.clear()
+            else:
+                while self.dropped:
+                    inner = next((x for x in reversed(self.dropped) if x in _ENDED_BY or x in _FOREIGN), "")
+                    if name not in _ENDED_BY.get(inner, ()):
+                        break
+                    del self.dropped[len(self.dropped) - 1 - self.dropped[::-1].index(inner):]
+        if closing:
+            if name in self.open:
+                del self.open[len(self.open) - 1 - self.open[::-1].index(name):]
+        elif name not in _VOID and not bare:
+            if self.dropped or name in _DROPPED:
+                self.dropped.append(name)
+            elif name not in ("p", "li") or self.open[-1:] != [name]:
+                self.open.append(name)
+        return bool(self.dropped) or name in _DROPPED
+
     def tag(self, closing: bool, name: str, attributes: str) -> None:
+        if self.drop(closing, name, attributes):
+            return
         if name == "a":
             self.in_link = not closing
             return
@@ -125,12 +181,17 @@ class _Page:
         self.head = False
         if name not in _CONTAINERS:
             self.marked = named
+            if name == "h1" and not closing and self.stack[-1].marks:
+                self.stack[-1].marks[-1].wrapper = True
             self.heading = not closing and len(name) == 2 and name[0] == "h" and name[1].isdigit()
         elif not closing:
             top = self.stack[-1]
             article = top.article or name in ("article", "main")
             outside = name in _OUTSIDE and not (name == "header" and top.article)
-            self.stack.append(_Open(name, top.outside or outside or named, article))
+            marks = (*top.marks, _Mark(False)) if named else top.marks
+            if name in ("article", "main") and marks:
+                marks[-1].wrapper = True
+            self.stack.append(_Open(name, top.outside or outside, article, marks))
         elif any(x.tag == name for x in self.stack):
             while self.stack.pop().tag != name:
                 pass
@@ -147,9 +208,33 @@ def blocks(page: str) -> list[Block]:
             state.tag(bool(found.group(2)), found.group(3).lower(), found.group(4))
     state.add(page[at:])
     state.close_block()
+    settle_marks(state.blocks)
     return state.blocks
 
 
+def settle_marks(of: list[Block]) -> None:
+    """Takes the marks of wrappers off, the inner ones first; the text of all other marked containers is outside."""
+    inside = [b for b in of if not b.outside]
+    total = sum(b.words - b.linked for b in inside)
+    while True:
+        own: dict[int, int] = {}
+        marks = {id(b.marks[-1]): b.marks[-1] for b in inside if b.marks}
+        for b in inside:
+            key = id(b.marks[-1]) if b.marks else 0
+            own[key] = own.get(key, 0) + b.words - b.linked
+        lifted = {k for k, m in marks.items() if own[k] > 0 and 2 * own[k] >= total and (
+            m.wrapper or (own[k] >= WRAPPER_WORDS and WRAPPER_REST * own.get(0, 0) < own[k]))}
+        if not lifted:
+            break
+        for b in inside:
+            if b.marks and id(b.marks[-1]) in lifted:
+                if marks[id(b.marks[-1])].wrapper and len(b.marks) > 1:
+                    b.marks[-2].wrapper = True
+                b.marks = b.marks[:-1]
+    for b in inside:
+        b.outside = bool(b.marks)
+
+
 def features(of: list[Block]) -> list[tuple]:
     around = [Block("", 1, 0, False, False, False), *of, Block("", 1, 0, False, False, False)]
     around[0].words = around[-1].words = 1

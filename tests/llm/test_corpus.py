@@ -282,6 +282,34 @@ def test_op7_main_text(spark):
         assert html_blocks.main_text(r.html) == " ".join(html.unescape(inner).split())
 
 
+LONG = " ".join(f"word{k}" for k in range(70))
+
+
+@pytest.mark.parametrize("before", [
+    "<svg width='1' />", "<svg/>", "<datalist id=a><option value=b><option value=c></datalist>", "<title-bar>x</title-bar>",
+    "<select-box>x</select-box>", "<div><object data=x></div>", "<div><svg><path d=x></div>", "<script src='x' />",
+    "<select><option>no<option>no</select>", "<noscript><p>no</p></noscript>", "<svg><g><text>no</text></g></svg>",
+    "<object><div>no</div></object>", "<template><svg><p>no</p></svg></template>"])
+def test_op7_dropped_elements_end(before):
+    assert html_blocks.main_text(f"<article>{before}<p>{LONG}</p></article>").removeprefix("x ") == LONG
+    assert html_blocks.main_text(f"<body>{before}<div><p>{LONG}</p><p>{LONG}</p></div>").endswith(f"{LONG} {LONG}")
+
+
+@pytest.mark.parametrize("opening, closing", [
+    ("<div class='content has-sidebar'>", "</div>"), ("<article class='post share-enabled'>", "</article>"),
+    ("<div class='page with-sidebar'><div id=post-share>", "</div></div>"),
+    ("<div class='no-comments'><article>", "</article></div>")])
+def test_op7_wrappers_with_keywords(opening, closing):
+    page = f"<nav><a href=x>menu</a></nav>{opening}<p>{LONG}</p><p>{LONG}</p><div class=sidebar><p>{LONG[:90]}</p></div>{closing}"
+    assert html_blocks.main_text(page) == f"{LONG} {LONG}"
+
+
+def test_op7_keywords_still_count():
+    comments = f"<div id=comments><article class=comment><p>{LONG}</p></article><article class=comment><p>{LONG}</p></article></div>"
+    assert html_blocks.main_text(f"<article><h1>Title</h1><p>{LONG[:200]}</p></article>{comments}") == f"Title {LONG[:200].strip()}"
+    assert html_blocks.main_text("<div class=cookie-consent><p>we use cookies and so on</p></div>") == ""
+
+
 def test_op8_counts(docs, rows):
     expected = []
     for i, t in rows:
