@@ -161,6 +161,26 @@ def test_op2_mix(docs, rows):
     same(mixing.mixed(docs).collect(), got)
 
 
+def test_op2_targets_to_the_word(spark, monkeypatch):
+    """Slots larger than small sources: each source still gets its target."""
+    for name, value in (("SLOT_BITS", 3), ("SLOTS", 8), ("CELLS", 4)):
+        monkeypatch.setattr(mixing, name, value)
+    sizes = [("big", 700)] * 6 + [("mid", 90)] * 5 + [("small", 2), ("tiny", 1), (None, 7), ("zero", 0), ("mid", 3), ("small", 2)]
+    docs = spark.createDataFrame([(k, "w " * n, s) for k, (s, n) in enumerate(sizes)], "doc_id long, text string, source string")
+    got = collections.defaultdict(list)
+    for r in mixing.mixed(docs).collect():
+        assert 0 <= r.taken <= 3 * r.size
+        got[r.source].append(r)
+    for of in got.values():
+        assert sum(r.taken for r in of) == math.floor(of[0].target + 0.5)
+    pieces = mixing.schedule(spark, mixing.source_targets(mixing.document_sizes(docs))).collect()
+    of_slot = collections.Counter()
+    for p in pieces:
+        of_slot[p.slot] += p.stop - p.start
+    total = sum(n for _, n in sizes)
+    assert len(of_slot) == 8 and all(abs(n - total / 8) <= 5 for n in of_slot.values())
+
+
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
         "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
