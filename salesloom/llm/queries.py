@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from salesloom.llm import (
-    brown_lm, host_reputation, html_blocks, knn_quality, mixing, ngram_join, private_data, quality_rules,
-    substring_dedup, winnowing)
+    ball_codes, brown_lm, byte_trie, host_reputation, html_blocks, knn_quality, mixing, ngram_join, prefix_trie, private_data,
+    quality_rules, substring_dedup, winnowing)
 from salesloom.llm.oracle import ORACLE_SQL
 
 
@@ -82,6 +82,22 @@ def op10_brown_lm(spark: SparkSession, folder: str) -> DataFrame:
     return brown_lm.score_texts(table(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op11_ball_codes(spark: SparkSession, folder: str) -> DataFrame:
+    rows = ball_codes.part_codes(table(spark, folder, "embeddings"))
+    return rows.select(F.col("id").alias("vec_id"), "code", "error", "label_error", "codebooks_sha256")
+
+
+def op12_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie.trie_nodes(prefix_trie.rebuilt(table(spark, folder, "conversations")))
+
+
+def op13_byte_trie(spark: SparkSession, folder: str) -> DataFrame:
+    rows = byte_trie.exact_groups(table(spark, folder, "documents"), keep="max")
+    return rows.select(F.col("id").alias("doc_id"), "keep_id", F.col("size").alias("group_size"), "kept",
+                       F.col("sha").alias("text_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_ngram_jaccard, op2_source_mix, op3_private_data, op4_winnowing, op5_neighbour_quality, op6_host_reputation,
-    op7_main_text, op8_quality_rules, op9_substring_dedup, op10_brown_lm)}
+    op7_main_text, op8_quality_rules, op9_substring_dedup, op10_brown_lm, op11_ball_codes,
+    op12_prefix_trie, op13_byte_trie)}

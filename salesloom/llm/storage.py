@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,3 +25,12 @@ def cut(frame: DataFrame) -> DataFrame:
     """``frame``, computed once and kept in the checkpoint folder."""
     prepare(frame.sparkSession)
     return frame.checkpoint()
+
+
+def stored(frame: DataFrame, name: str) -> DataFrame:
+    """``frame``, computed once and kept as Parquet in the checkpoint folder."""
+    spark = frame.sparkSession
+    prepare(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    frame.write.option("compression", "zstd").parquet(folder)
+    return spark.read.schema(frame.schema).parquet(folder)
