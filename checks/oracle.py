@@ -82,13 +82,18 @@ def ts_text(x: str, sep: str = " ") -> str:
 # ---------------------------------------------------------------------------
 
 
+def total(x: str) -> str:
+    """Money is added exactly, in ten-thousandths, and shown as the nearest double."""
+    return f"CAST(sum(CAST({x} AS DECIMAL(38,4))) AS DOUBLE)"
+
+
 def kpis(source: str, by: str | None = None, cost: bool = True,
          segments: tuple[str, ...] = SEGMENTS) -> str:
-    c = "sum(cost)" if cost else "NULL"
+    c = total("cost") if cost else "NULL"
     segments = tuple(s for s in segments if s != by)
     union = " UNION ALL ".join(
         f"SELECT k, '{s}' AS segment_type, {i} AS t, {s} AS segment_value, "
-        f"sum(amount) AS revenue, {c} AS cost, count(amount) AS order_count "
+        f"{total('amount')} AS revenue, {c} AS cost, count(amount) AS order_count "
         f"FROM f WHERE {s} IS NOT NULL GROUP BY k, {s}" for i, s in enumerate(segments))
     return f"""f AS (SELECT {by or 0} AS k, * FROM {source}),
 ov AS (
@@ -96,10 +101,10 @@ ov AS (
          CASE WHEN total_revenue > 0
               THEN (total_revenue - total_cost) / total_revenue * 100 END AS gross_margin_pct,
          total_revenue / n_transactions AS avg_order_value
-  FROM (SELECT k, sum(amount) AS total_revenue, {c} AS total_cost,
+  FROM (SELECT k, {total("amount")} AS total_revenue, {c} AS total_cost,
                count(*) AS n_transactions, min(date) AS date_min, max(date) AS date_max
         FROM f GROUP BY k)),
-dsum AS (SELECT k, CAST(date AS DATE) AS period, sum(amount) AS revenue, {c} AS cost
+dsum AS (SELECT k, CAST(date AS DATE) AS period, {total("amount")} AS revenue, {c} AS cost
          FROM f GROUP BY ALL),
 span AS (SELECT k, min(period) AS lo, max(period) AS hi FROM dsum GROUP BY k),
 days AS (SELECT k, CAST(unnest(generate_series(CAST(lo AS TIMESTAMP), CAST(hi AS TIMESTAMP),
@@ -107,9 +112,9 @@ days AS (SELECT k, CAST(unnest(generate_series(CAST(lo AS TIMESTAMP), CAST(hi AS
 day AS (SELECT k, period, coalesce(revenue, 0.0) AS revenue, coalesce(cost, 0.0) AS cost
         FROM days LEFT JOIN dsum USING (k, period)),
 week AS (SELECT k, CAST(period + CAST(7 - isodow(period) AS INTEGER) AS DATE) AS period,
-                sum(revenue) AS revenue, sum(cost) AS cost FROM day GROUP BY ALL),
-month AS (SELECT k, last_day(period) AS period, sum(revenue) AS revenue,
-                 sum(cost) AS cost FROM day GROUP BY ALL),
+                {total("revenue")} AS revenue, {total("cost")} AS cost FROM day GROUP BY ALL),
+month AS (SELECT k, last_day(period) AS period, {total("revenue")} AS revenue,
+                 {total("cost")} AS cost FROM day GROUP BY ALL),
 nz AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY period DESC) AS rn
        FROM month WHERE revenue <> 0),
 tr AS (SELECT a.k, true AS has_enough_data,
@@ -131,7 +136,7 @@ an AS (SELECT k, true AS has_enough_history,
          last AS "current_date", current_revenue, history_mean, history_std, z_score
        FROM (SELECT *, CASE WHEN history_std > 0 THEN
                (current_revenue - history_mean) / history_std END AS z_score FROM an0)),
-sg AS (SELECT *, revenue / sum(revenue) OVER (PARTITION BY k, segment_type) * 100 AS share,
+sg AS (SELECT *, revenue / CAST(sum(CAST(revenue AS DECIMAL(38,4))) OVER (PARTITION BY k, segment_type) AS DOUBLE) * 100 AS share,
          row_number() OVER (PARTITION BY k, segment_type
                             ORDER BY revenue DESC, segment_value) AS rank
        FROM ({union}))"""
@@ -184,6 +189,24 @@ SELECT {_by(by)}has_enough_history, status, CAST("current_date" AS VARCHAR) AS "
   round(history_std, 6) AS history_std, round(z_score, 6) AS z_score FROM an"""
 
 
+def anomalies(source: str, cte: str, by: str | None = None, cost: bool = True,
+              segments: tuple[str, ...] = SEGMENTS, empty_days: bool = True) -> str:
+    """Every day against the 30 days before it in the series without gaps."""
+    shown = "" if empty_days else "JOIN dsum USING (k, period)"
+    return _with(cte, kpis(source, by, cost, segments)) + f"""
+SELECT {_by(by)}n >= 5 AS has_enough_history,
+  CASE WHEN n < 5 THEN 'insufficient_history' WHEN z > 2 THEN 'high' WHEN z < -2 THEN 'low'
+       ELSE 'normal' END AS status,
+  CAST(period AS VARCHAR) AS "current_date", round(current_revenue, 4) AS current_revenue,
+  round(CASE WHEN n >= 5 THEN mean END, 6) AS history_mean,
+  round(CASE WHEN n >= 5 THEN std END, 6) AS history_std, round(z, 6) AS z_score
+FROM (SELECT *, CASE WHEN n >= 5 AND std > 0 THEN (current_revenue - mean) / std END AS z
+      FROM (SELECT k, period, day.revenue AS current_revenue, count(*) OVER w AS n,
+                   avg(day.revenue) OVER w AS mean, stddev_pop(day.revenue) OVER w AS std
+            FROM day WINDOW w AS (PARTITION BY k ORDER BY period
+              RANGE BETWEEN INTERVAL 30 DAYS PRECEDING AND INTERVAL 1 DAY PRECEDING))) {shown}"""
+
+
 def metrics_long(by: str | None = None) -> str:
     none = "CAST(NULL AS VARCHAR)"
 
@@ -550,7 +573,7 @@ found AS (SELECT r.*, d.* EXCLUDE (id, pos) FROM ranked r JOIN docs d USING (id)
 
 _KEYS = "conv_id, turn"
 _QUESTION_HEAD = "transactions that help answer the following business question: "
-ASKED = f"""totals AS (SELECT sum(amount) AS revenue, count(*) AS n, min(date) AS lo,
+ASKED = f"""totals AS (SELECT {total("amount")} AS revenue, count(*) AS n, min(date) AS lo,
   max(date) AS hi FROM orders_tx),
 asked AS (
   SELECT conv_id, turn, text AS question,
@@ -696,6 +719,8 @@ SELECT round(total_revenue, 2) AS total_revenue, round(total_cost, 2) AS total_c
     "anomaly_last_day": anomaly("orders_tx", ORDERS_TX, None, False, ORDER_SEGMENTS),
     "monthly_trend_by_channel": trend("channel"),
     "anomaly_by_channel": anomaly("sales", SALES, "channel"),
+    "anomaly_every_day": anomalies("orders_tx", ORDERS_TX, None, False, ORDER_SEGMENTS),
+    "anomaly_every_day_by_channel": anomalies("sales", SALES, "channel", empty_days=False),
     "metrics_bundle_long": metrics_long(),
     "metrics_bundle_by_channel": metrics_long("channel"),
     "report_overview": report_section("overview"),

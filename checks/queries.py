@@ -100,6 +100,12 @@ def _anomaly(source: Callable, by: Sequence[str] = ()) -> Query:
     return query
 
 
+def _anomalies(source: Callable, by: Sequence[str] = (), empty_days: bool = True) -> Query:
+    def query(spark: SparkSession, folder: str) -> DataFrame:
+        return _comparable(kpi.revenue_anomalies(source(spark, folder), by=by, empty_days=empty_days))
+    return query
+
+
 def _bundle(spark: SparkSession, folder: str, by: Sequence[str] = ()
             ) -> bundles.MetricsBundle:
     return bundles.build_metrics_bundle(tables.sales(spark, folder), by=by)
@@ -329,6 +335,8 @@ QUERIES: dict[str, Query] = {
     "anomaly_last_day": _anomaly(tables.orders_tx),
     "monthly_trend_by_channel": _trend(tables.sales, ["channel"]),
     "anomaly_by_channel": _anomaly(tables.sales, ["channel"]),
+    "anomaly_every_day": _anomalies(tables.orders_tx),
+    "anomaly_every_day_by_channel": _anomalies(tables.sales, ["channel"], empty_days=False),
     "metrics_bundle_long": _metrics_long(),
     "metrics_bundle_by_channel": _metrics_long(["channel"]),
     "report_overview": _report_section("overview"),

@@ -331,8 +331,15 @@ def anomaly_from(measured: DataFrame, lookback_days: int = 30, sigma: float = 2.
         F.max(F.least(F.lit(lookback_days), F.date_diff("last", "first"))).alias("n"),
         F.count(past).alias("m"), F.coalesce(F.avg(past), F.lit(0.0)).alias("m_mean"),
         F.coalesce(F.var_pop(past), F.lit(0.0)).alias("m_var"))
-    # Days without sales are zeros of the history: m days with data, n - m zeros. Mean
-    # and variance of both parts are merged instead of generating the empty days.
+    return _judged(stats, sigma, by)
+
+
+def _judged(stats: DataFrame, sigma: float, by: Sequence[str]) -> DataFrame:
+    """Status of days from the moments of their history: of ``n`` days, ``m`` with sales.
+
+    Days without sales are zeros of the history: m days with data, n - m zeros. Mean and
+    variance of both parts are merged instead of generating the empty days.
+    """
     n, m = F.col("n"), F.col("m")
     # (No empty days: the mean is taken as it is, so constant history has a spread of 0.)
     mean = F.when(m == n, F.col("m_mean")).otherwise(m * F.col("m_mean") / n)
@@ -352,6 +359,40 @@ def anomaly_from(measured: DataFrame, lookback_days: int = 30, sigma: float = 2.
         "current_date", "current_revenue", "history_mean", "history_std", z.alias("z_score"))
 
 
+def anomalies_from(measured: DataFrame, lookback_days: int = 30, sigma: float = 2.0,
+                   by: Sequence[str] = (), empty_days: bool = True) -> DataFrame:
+    daily = (add_up(measured.where(F.col("day").isNotNull()), *by, "day")
+             .select(*by, "day", _or_zero("revenue").alias("revenue")))
+    group = Window.partitionBy(*by)
+    number = F.unix_date("day")
+    past = group.orderBy(number).rangeBetween(-lookback_days, -1)
+    days = daily.withColumn("sold", F.col("revenue"))
+    if empty_days:  # every row also emits the empty days up to the next one
+        until = F.coalesce(F.date_sub(F.lead("day").over(group.orderBy("day")), 1), F.col("day"))
+        rows = daily.withColumn("until", until).select(
+            *by, "revenue", F.posexplode(F.sequence("day", "until")).alias("gap", "day"))
+        sold = F.when(F.col("gap") == 0, F.col("revenue"))
+        days = rows.select(*by, "day", F.coalesce(sold, F.lit(0.0)).alias("revenue"), sold.alias("sold"))
+    stats = days.select(
+        *by, F.col("day").alias("current_date"), F.col("revenue").alias("current_revenue"),
+        F.least(F.lit(lookback_days), F.date_diff("day", F.min("day").over(group))).alias("n"),
+        F.count("sold").over(past).alias("m"),
+        F.coalesce(F.avg("sold").over(past), F.lit(0.0)).alias("m_mean"),
+        F.coalesce(F.var_pop("sold").over(past), F.lit(0.0)).alias("m_var"))
+    return _judged(stats, sigma, by)
+
+
+def revenue_anomalies(tx: DataFrame, lookback_days: int = 30, sigma: float = 2.0,
+                      by: Sequence[str] = (), empty_days: bool = True) -> DataFrame:
+    """Revenue of every day against the ``lookback_days`` days before it (z-score).
+
+    The last day's row is that of :func:`revenue_anomaly_last_day`. Days without sales count
+    as zeros of the history; they get rows of their own unless ``empty_days`` is false, in
+    which case none are generated. Windows run over days, in one task per group.
+    """
+    return anomalies_from(measures(tx, by), lookback_days, sigma, by, empty_days)
+
+
 def revenue_anomaly_last_day(tx: DataFrame, lookback_days: int = 30, sigma: float = 2.0,
                              by: Sequence[str] = ()) -> DataFrame:
     """Revenue of the last day against the days before it (z-score)."""

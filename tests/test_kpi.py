@@ -205,3 +205,44 @@ def test_null_group_is_kept(sales_frame):
     assert rows[None].overall.total_revenue == 3.0 and rows[None].trend.direction == "up"
     assert rows["x"].trend.direction == "insufficient_data"
     assert len(rows[None].recent) == 2 and len(rows["x"].recent) == 1
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_every_day_against_pandas(spark, seed):
+    frame = random_frame(seed).dropna(subset=["amount"])
+    tx = spark.createDataFrame(frame).withColumn("date", F.col("date").cast("timestamp_ntz"))
+    daily = frame.set_index("date").sort_index().amount.resample("D").sum()
+    found = kpi.revenue_anomalies(tx, lookback_days=7).orderBy("current_date").collect()
+    assert [str(r.current_date) for r in found] == [str(d.date()) for d in daily.index]
+    for at, row in enumerate(found):
+        history = daily.iloc[max(0, at - 7):at]
+        assert close(row.current_revenue, daily.iloc[at])
+        assert row.has_enough_history == (len(history) >= 5)
+        if len(history) < 5:
+            assert (row.status, row.history_mean, row.z_score) == ("insufficient_history", None, None)
+            continue
+        assert close(row.history_mean, history.mean())
+        assert close(row.history_std, history.std(ddof=0))
+        if history.std(ddof=0) > 1e-6:
+            z = (daily.iloc[at] - history.mean()) / history.std(ddof=0)
+            assert close(row.z_score, z)
+            assert row.status == ("high" if z > 2 else "low" if z < -2 else "normal")
+    sold = {str(d.date()) for d in frame.date}
+    few = kpi.revenue_anomalies(tx, lookback_days=7, empty_days=False)
+    assert rows_of(few, ["current_date"]) == [
+        r for r, raw in zip(rows_of(kpi.revenue_anomalies(tx, lookback_days=7), ["current_date"]), found)
+        if str(raw.current_date) in sold]
+    last = kpi.revenue_anomaly_last_day(tx, lookback_days=7).first()
+    assert all(close(a, b) if isinstance(a, float) else a == b for a, b in zip(last, found[-1]))
+
+
+def test_every_day_of_groups_and_of_nothing(spark, sales_frame):
+    tx = spark.createDataFrame(random_frame(5)).withColumn("date", F.col("date").cast("timestamp_ntz"))
+    every = rows_of(kpi.revenue_anomalies(tx, by=["channel"]), ["channel", "current_date"])
+    for channel in ("web", "shop"):
+        alone = rows_of(kpi.revenue_anomalies(tx.where(tx.channel == channel)), ["current_date"])
+        assert [r[1:] for r in every if r[0] == channel] == alone
+    assert kpi.revenue_anomalies(sales_frame([])).count() == 0
+    constant = sales_frame([(f"2024-01-{d:02d}", 0.1) for d in range(1, 30)])
+    assert {r.status for r in kpi.revenue_anomalies(constant).collect()} == {"insufficient_history", "normal"}
+    assert all(r.z_score is None for r in kpi.revenue_anomalies(constant).collect())
