@@ -27,13 +27,15 @@ def at_most(df: DataFrame, rows: int) -> bool:
     return len(df.select(F.lit(1)).limit(rows + 1).collect()) <= rows
 
 
-def upsert(current: DataFrame, new: DataFrame, broadcast_rows: int = 200_000) -> DataFrame:
+def upsert(current: DataFrame, new: DataFrame, broadcast_rows: int = 200_000,
+           end: int | None = None) -> DataFrame:
     """``current`` with ``new`` merged in: last write wins, known ids keep their place.
 
     New ids are placed behind everything there is. The large current table is only
     filtered and passed on: a batch of at most ``broadcast_rows`` ids is broadcast to it,
     so that it is not shuffled; a larger one is joined by sorting both sides. ``new`` is read
-    several times: persist it if its embeddings come from a provider.
+    several times: persist it if its embeddings come from a provider. ``end`` is the last
+    position of the index, if ``current`` is the part of it that can hold the new ids.
     """
     new = latest_per_id(new.select(*current.columns))
     new_ids = new.select("id")
@@ -42,8 +44,9 @@ def upsert(current: DataFrame, new: DataFrame, broadcast_rows: int = 200_000) ->
     kept = current.join(new_ids, "id", "left_anti")
     places = (current.select("id", "pos").join(new_ids, "id", "left_semi")
               .withColumnRenamed("pos", "known_pos"))
-    end = current.agg(F.coalesce(F.max("pos"), F.lit(-1)).alias("end")).scalar()
+    last = (current.agg(F.coalesce(F.max("pos"), F.lit(-1)).alias("end")).scalar()
+            if end is None else F.lit(end).cast("bigint"))
     start = new.agg(F.min("pos").alias("start")).scalar()
     placed = new.join(places, "id", "left").withColumn(
-        "pos", F.coalesce("known_pos", end + 1 + F.col("pos") - start))
+        "pos", F.coalesce("known_pos", last + 1 + F.col("pos") - start))
     return kept.select(*current.columns).unionByName(placed.select(*current.columns))

@@ -5,11 +5,13 @@ import random
 
 import pandas as pd
 import pytest
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from salesloom.operators import documents, index, retrieval, similarity
 from salesloom.plans import context
-from salesloom.sources.index_table import cache_index, read_index, write_index
+from salesloom.sources import index_table
+from salesloom.sources.index_table import cache_index, newest_version, read_index, write_index
 from salesloom.streaming.index_stream import upsert_stream
 
 PLANS = {"broadcast index": {}, "broadcast queries": {"broadcast_rows": 30},
@@ -277,3 +279,80 @@ def test_stream_keeps_the_index_up_to_date(spark, tmp_path):
     assert run_once() == [("txn-1", 10.0)]
     (inbox / "2.csv").write_text("key,order_date,total_price\n1,2024-01-05,11\n3,2024-1-6,7\n")
     assert run_once() == [("txn-1", 11.0), ("txn-3", 7.0)]
+
+
+def listed(tmp_path, name="i"):
+    version = newest_version(SparkSession.active(), str(tmp_path), name)
+    return {b: folder for b, (folder, _, _) in version.folders.items()}
+
+
+def files_below(folder):
+    return {str(f): f.stat().st_mtime_ns for f in folder.rglob("*.parquet")}
+
+
+def test_an_update_leaves_other_buckets_alone(spark, tmp_path):
+    path = str(tmp_path)
+    old = [(f"id{k}", k) for k in range(200)]
+    frame = spark.createDataFrame([(i, k, f"old {k}") for i, k in old], "id string, pos long, text string")
+    write_index(frame, path, "i", buckets=16)
+    before, files = listed(tmp_path), files_below(tmp_path / "i")
+    new = spark.createDataFrame([("id7", 0, "new"), ("id300", 1, "more"), ("id9", 2, "new")],
+                                "id string, pos long, text string")
+    version = write_index(new, path, "i")
+    after = listed(tmp_path)
+    touched = {r[0] for r in new.select(index_table.bucket_of(F.col("id"), 16)).collect()}
+    assert {b for b in after if before.get(b) != after[b]} == touched and len(touched) < 4
+    assert all(files_below(tmp_path / "i")[f] == at for f, at in files.items())  # nothing was written anew
+    rows = {r.id: (r.pos, r.text) for r in read_index(spark, path, "i").collect()}
+    expected = {i: (k, f"old {k}") for i, k in old} | {"id7": (7, "new"), "id9": (9, "new"), "id300": (201, "more")}
+    assert rows == expected and version.rows == 201 and version.end == 201
+    few = index_table.read_ids(spark, path, "i", ["id7", "id300", "unknown"])
+    assert {r.id for r in few.collect()} == {"id7", "id300"}
+    assert len(few.inputFiles()) < len(read_index(spark, path, "i").inputFiles())
+
+
+def test_old_versions_go_and_readers_of_kept_ones_stay(spark, tmp_path):
+    path = str(tmp_path)
+
+    def batch(k):
+        return spark.createDataFrame([("same", 0, f"state {k}"), (f"only {k}", 1, "x")], "id string, pos long, text string")
+
+    write_index(batch(0), path, "i", buckets=4)
+    running = read_index(spark, path, "i")
+    for k in range(1, 5):
+        write_index(batch(k), path, "i", keep=2)
+        if k == 1:
+            assert running.where("id = 'same'").first().text == "state 0"  # still among the kept ones
+    assert sorted(f.name for f in (tmp_path / "i" / "versions").glob("*.json")) == ["v000004.json", "v000005.json"]
+    kept = {folder for n in (4, 5) for folder, _, _ in index_table._load(spark, f"{path}/i", n).folders.values()}
+    assert {str(f.parent.relative_to(tmp_path / "i")) for f in (tmp_path / "i").rglob("*.parquet")} == kept
+    rows = {r.id: r.text for r in read_index(spark, path, "i").collect()}
+    assert rows == {"same": "state 4"} | {f"only {k}": "x" for k in range(5)}
+
+
+def test_a_writer_that_comes_second_merges_again(spark, tmp_path, monkeypatch):
+    path, columns = str(tmp_path), "id string, pos long, text string"
+    write_index(spark.createDataFrame([("a", 0, "1")], columns), path, "i", buckets=2)
+    publish, raced = index_table.shared_files.publish, []
+
+    def slow(session, target, text, draft):
+        if not raced:
+            raced.append(True)
+            write_index(spark.createDataFrame([("b", 0, "other"), ("a", 1, "other")], columns), path, "i")
+        return publish(session, target, text, draft)
+
+    monkeypatch.setattr(index_table.shared_files, "publish", slow)
+    version = write_index(spark.createDataFrame([("a", 0, "mine"), ("c", 1, "mine")], columns), path, "i")
+    rows = {r.id: (r.pos, r.text) for r in read_index(spark, path, "i").collect()}
+    assert version.number == 3 and rows == {"a": (0, "mine"), "b": (1, "other"), "c": (3, "mine")}
+
+
+def test_an_empty_batch_and_an_empty_index(spark, tmp_path):
+    path, columns = str(tmp_path), "id string, pos long, text string"
+    write_index(spark.createDataFrame([], columns), path, "i")
+    assert read_index(spark, path, "i").count() == 0
+    write_index(spark.createDataFrame([("a", 5, "1"), (None, 6, "no id")], columns), path, "i")
+    write_index(spark.createDataFrame([], columns), path, "i")
+    assert {(r.id, r.pos) for r in read_index(spark, path, "i").collect()} == {("a", 0), (None, 1)}
+    with pytest.raises(ValueError, match="at least 1"):
+        write_index(spark.createDataFrame([], columns), path, "i", buckets=0)
