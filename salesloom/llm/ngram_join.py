@@ -31,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from salesloom.llm.graph import components
@@ -58,7 +58,7 @@ def digest(grams_: np.ndarray) -> tuple[int, int]:
 
 def _signatures(size: int):
     schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()),
-                        ("sketch", pa.list_(pa.int64()))])
+                        ("own", pa.int64()), ("sketch", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
@@ -80,7 +80,7 @@ def _signatures(size: int):
                 sketches.append(grams_[:SKETCH].view(np.int64) if fresh else None)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).cast(pa.int64()), pa.array(rows, pa.int64()), pa.array(ones, pa.int64()),
-                 pa.array(twos, pa.int64()), pa.array(sketches, pa.list_(pa.int64()))], schema=schema)
+                 pa.array(twos, pa.int64()), batch.column(2), pa.array(sketches, pa.list_(pa.int64()))], schema=schema)
 
     return run
 
@@ -186,33 +186,43 @@ def tree_links(sets: list[np.ndarray], threshold: float, group: np.ndarray | Non
     return links
 
 
-_LINKS = "a long, b long"
+_LINKS = "a1 long, a2 long, b1 long, b2 long"
 
 
 def _block_links(size: int, threshold: float):
+    """Links between the classes of a block; a class is known by its digest."""
     def run(table: pa.Table) -> pa.Table:
-        sets, ids, groups = [], [], []
+        sets, classes, groups = [], [], []
         texts = table.column("text").combine_chunks()
         texts = pa.concat_arrays(texts.chunks) if isinstance(texts, pa.ChunkedArray) else texts
-        known = zip(table.column("id").to_pylist(), table.column("d1").to_pylist(), table.column("d2").to_pylist(),
-                    table.column("group").to_pylist())
-        taken = set()
-        for hashes, (key, d1, d2, group) in zip(hashed_words(texts, fold=True), known):
-            grams_ = gram_set(hashes, size)
-            # A pivot may meet itself; a row that repeats an id but not the text is not the class.
-            if key in taken or digest(grams_) != (d1, d2):
+        known = zip(*(table.column(name).to_pylist() for name in ("d1", "d2", "g1", "g2")))
+        taken, numbers = set(), {}
+        for hashes, (d1, d2, g1, g2) in zip(hashed_words(texts, fold=True), known):
+            # A pivot may meet itself.
+            if (d1, d2) in taken:
                 continue
-            taken.add(key)
-            sets.append(grams_)
-            ids.append(key)
-            groups.append(group)
+            taken.add((d1, d2))
+            sets.append(gram_set(hashes, size))
+            classes.append((d1, d2))
+            groups.append(numbers.setdefault((g1, g2), len(numbers)))
         found = tree_links(sets, threshold, np.array(groups, dtype=np.int64))
-        return pa.table({"a": pa.array([ids[i] for i, _ in found], pa.int64()),
-                         "b": pa.array([ids[j] for _, j in found], pa.int64())})
+        ends = [(*classes[i], *classes[j]) for i, j in found]
+        return pa.table({name: pa.array([x[k] for x in ends], pa.int64())
+                         for k, name in enumerate(("a1", "a2", "b1", "b2"))})
 
     return run
 
 
+def _class(first: str, second: str) -> Column:
+    return F.struct(F.col(first).alias("d1"), F.col(second).alias("d2"))
+
+
+def _linked(links: DataFrame) -> DataFrame:
+    """(d1, d2, component) of the classes that have links."""
+    found = components(links.select(_class("a1", "a2").alias("a"), _class("b1", "b2").alias("b")))
+    return found.select("node.d1", "node.d2", "component")
+
+
 def _candidates(base: DataFrame, threshold: float) -> DataFrame:
     """(a, b): pairs of digests; whatever can link is connected by them."""
     rows = base.filter("sketch is not null").select(
@@ -234,26 +244,30 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     """(id, n, component) per row: size of its n-gram set and least id that links reach.
 
     A null or blank text has no n-grams and links with nothing: its component is its own id. Rows
-    of a null id get null unless they equal others. Rows that repeat an id with other texts link
-    each for themselves. Columns other than the two named are not read.
+    of a null id link like others; their component is null where all that links reach have none.
+    Rows that repeat an id with other texts link each for themselves, in any order of rows.
+    Columns other than the two named are not read.
     """
-    base = cut(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-               .mapInArrow(_signatures(size), "id long, n long, d1 long, d2 long, sketch array<long>"))
+    # ``own`` tells rows of one id apart: a class takes its text from one row.
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).withColumn(
+        "own", F.xxhash64("text"))
+    base = cut(rows.mapInArrow(_signatures(size), "id long, n long, d1 long, d2 long, own long, sketch array<long>"))
     filled = base.filter("n > 0")
-    classes = cut(filled.groupBy("d1", "d2", "n").agg(F.min("id").alias("rep")))
+    classes = cut(filled.groupBy("d1", "d2", "n").agg(
+        F.min("id").alias("rep"), F.coalesce(F.min_by("own", "id"), F.min("own")).alias("own")))
     buckets = components(_candidates(filled, threshold))
-    members = classes.filter("rep is not null").join(
-        buckets.select(F.col("node").alias("d1"), F.col("component").alias("bucket")), "d1")
+    members = classes.join(buckets.select(F.col("node").alias("d1"), F.col("component").alias("bucket")), "d1")
     totals = members.groupBy("bucket").agg(F.sum("n").alias("grams"), F.count("*").alias("m")).filter("m > 1")
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    members = cut(members.join(totals, "bucket").withColumnRenamed("rep", "id").join(texts, "id").select(
-        "id", "text", "d1", "d2", "n", "bucket", "m",
-        F.ceil(F.col("grams") / BLOCK_GRAMS).cast("int").alias("blocks")))
-    links = _BlockJoin(members, size, threshold).links()
-    found = components(links)
-    rows = base.select("id", "n", "d1", "d2").join(classes, ["d1", "d2", "n"], "left").join(
-        found.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    return rows.select("id", "n", F.coalesce("component", "rep", "id").alias("component"))
+    members = members.join(totals, "bucket").withColumn("key", F.coalesce("rep", F.lit(0)))
+    texts = rows.select(F.coalesce("id", F.lit(0)).alias("key"), "own", "text")
+    members = cut(members.join(texts, ["key", "own"]).dropDuplicates(["key", "own"]).select(
+        "text", "d1", "d2", "n", "bucket", "m", F.ceil(F.col("grams") / BLOCK_GRAMS).cast("int").alias("blocks")))
+    linked = _linked(_BlockJoin(members, size, threshold).links()).join(classes.select("d1", "d2", "rep"), ["d1", "d2"])
+    least = linked.groupBy("component").agg(F.min("rep").alias("least"))
+    linked = linked.join(least, "component").select("d1", "d2", "least")
+    named = classes.join(linked, ["d1", "d2"], "left").select("d1", "d2", "n", F.coalesce("least", "rep").alias("least"))
+    out = base.select("id", "n", "d1", "d2").join(named, ["d1", "d2", "n"], "left")
+    return out.select("id", "n", F.coalesce("least", "id").alias("component"))
 
 
 class _BlockJoin:
@@ -269,15 +283,16 @@ class _BlockJoin:
         spot = F.pmod(F.xxhash64("d1", F.lit(1)), F.col("blocks")).cast("int")
         pivot = F.pmod(F.xxhash64("d1", F.lit(2)), F.col("m")) < PIVOTS
         everywhere = F.sequence(F.lit(0), F.col("blocks") - 1)
-        columns = ["id", "text", "d1", "d2", "bucket", "i", "j", "group"]
+        columns = ["text", "d1", "d2", "bucket", "i", "j", F.col("group.d1").alias("g1"), F.col("group.d2").alias("g2")]
+        own = _class("d1", "d2")
         first = self.members.withColumn(
             "i", F.explode(F.when((F.col("blocks") > 1) & pivot, everywhere).otherwise(F.array(spot))))
-        done = cut(self._apply(first.withColumn("j", F.col("i")).withColumn("group", F.col("id")).select(*columns)))
+        done = cut(self._apply(first.withColumn("j", F.col("i")).withColumn("group", own).select(*columns)))
         large = self.members.filter("blocks > 1")
         if large.isEmpty():
             return done
-        group = components(done).select(F.col("node").alias("id"), F.col("component").alias("group"))
-        large = cut(large.join(group, "id", "left").withColumn("group", F.coalesce("group", "id")))
+        large = cut(large.join(_linked(done), ["d1", "d2"], "left").withColumn("group", F.coalesce("component", own)).drop(
+            "component"))
         sizes = large.groupBy("bucket", "group").agg(F.sum("n").alias("c"))
         most = sizes.groupBy("bucket").agg(F.max_by("group", F.struct("c", "group")).alias("main"),
                                            (F.sum("c") - F.max("c")).alias("rest")).filter("rest > 0")
@@ -294,4 +309,4 @@ class _BlockJoin:
                                 lambda k: F.struct(F.col("mine").alias("i"), k.alias("j")))
         pairs = left.withColumn("pair", F.explode(F.when(main, with_rest).otherwise(F.concat(with_rest, with_main))))
         return done.unionByName(self._apply(
-            pairs.select("id", "text", "d1", "d2", "bucket", "pair.i", "pair.j", "group").select(*columns)))
+            pairs.select("text", "d1", "d2", "bucket", "pair.i", "pair.j", "group").select(*columns)))
