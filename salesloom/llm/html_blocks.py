@@ -40,9 +40,13 @@ _MARKED = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|consent|cookies?|disqus|footer|header|menu|nav\w*|"
     r"newsletter|notice|pagination|popup|promo\w*|related|replies|respond|share|sharing|sidebar|social|sponsor\w*|"
     r"subscribe|toolbar|widget)(?:$|[\s_-])", re.IGNORECASE)
+#: What a tag holds after its name: a value in quotes may hold < and >. A quote that nothing but white
+#: space, / or > follows ends a value; one that no such quote follows is a character like others.
+_ATTRIBUTES = (r"(?:(?:[^<>\x22\x27=]++|=\s*+(?:\x22[^\x22]*+\x22(?=[\s/>])|\x27[^\x27]*+\x27(?=[\s/>]))?+|[\x22\x27])*+(?=>)"
+               r"|[^<>]*)")
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({_RAW})(?=[\s/>])(?!\s*/>|[^<>]*[\s\x22\x27]/>)[^<>]*>.*?(?:</\1\s*>|\Z)|"
-    r"<(/?)([a-zA-Z][^\s/<>]*)([^<>]*)>|<[/!?][^<>]*>",
+    rf"<!--.*?(?:-->|\Z)|<({_RAW})(?=[\s/>])(?!\s*/>|[^<>]*[\s\x22\x27]/>){_ATTRIBUTES}>.*?(?:</\1\s*>|\Z)|"
+    rf"<(/?)([a-zA-Z][^\s/<>]*)({_ATTRIBUTES})>|<[/!?][^<>]*>",
     re.DOTALL | re.IGNORECASE)
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 
