@@ -26,7 +26,7 @@ def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     """(node, component) of all nodes with an edge; component is the least node of each.
 
     ``edges`` has columns a and b of a type with an order; loops, repeats and nulls are ignored.
-    No edges give no rows.
+    No edges give no rows. Raises where ``max_rounds`` rounds do not settle all components.
     """
     now = cut(edges.filter("a != b").select(
         F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
@@ -42,5 +42,7 @@ def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
         if state == before:
             break
         before = state
+    else:
+        raise RuntimeError(f"components are not settled after {max_rounds} rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

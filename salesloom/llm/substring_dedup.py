@@ -54,12 +54,15 @@ def _choices(hashes: np.ndarray, window: int) -> np.ndarray:
 def _extended(choice: np.ndarray, window: int, size: int) -> np.ndarray:
     """Where a run of ``size`` words around the choice starts, inside the window of each start.
 
-    It starts at the choice, or as many steps of ``START`` words before as it takes to fit.
+    It starts at the choice, or as many steps of ``START`` words before as it takes to end inside the
+    window; where that is before the window, at the window's start. Only the choice's place in the
+    window counts, so equal windows have equal runs.
     """
     if size == window:
         return np.arange(len(choice))
-    over = choice - np.arange(len(choice)) + size - window
-    return choice - np.maximum(0, -(-over // START)) * START
+    first = np.arange(len(choice))
+    over = choice - first + size - window
+    return np.maximum(first, choice - np.maximum(0, -(-over // START)) * START)
 
 
 def _lists(column: pa.Array) -> Iterator[np.ndarray]:
