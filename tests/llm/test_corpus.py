@@ -111,6 +111,28 @@ def test_op1_blocks_find_the_same(docs, rows, monkeypatch):
     same(got, brute_components(rows))
 
 
+WORDS = [f"t{k}" for k in range(60)]
+
+
+def chain(name):
+    """Three texts of which neighbours link and the ends do not."""
+    return [" ".join(name + w for w in WORDS[k:k + 50]) for k in (0, 5, 10)]
+
+
+A, B, C, D, E = map(chain, "abcde")
+REPEATED = [(5, "something quite unlike all of the other texts here"), (5, A[0]), (7, A[1]),
+            (15, B[0]), (15, B[2]), (17, B[1]), (13, B[2].upper()), (60, C[0]), (None, C[1]), (61, C[2]),
+            (None, D[0]), (None, D[0]), (None, D[1]), (None, "nothing of this links"),
+            *[(9, E[0])] * 4, (9, E[1]), (8, E[2]), (0, E[2]), (None, E[2])]
+
+
+@pytest.mark.parametrize("rows", [REPEATED, REPEATED[::-1]])
+def test_op1_repeated_and_null_ids(spark, rows, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK_GRAMS", 60)
+    got = ngram_join.ngram_jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"))
+    same(got.collect(), brute_components(rows))
+
+
 def test_tree_links_connect_what_all_pairs_connect():
     rng = np.random.default_rng(1)
     sets = []
@@ -130,6 +152,12 @@ def test_tree_links_connect_what_all_pairs_connect():
     assert parts(ngram_join.tree_links(sets, 0.75)) == parts(pairs)
 
 
+def test_unsettled_components_raise(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(60)], "a long, b long")
+    with pytest.raises(RuntimeError, match="not settled"):
+        graph.components(edges, max_rounds=2)
+
+
 def test_components_of_long_paths(spark):
     edges = [(i, i + 1) for i in range(60)] + [(200, 201), (300, 300)] + [(1000, 1000 + i) for i in range(1, 40)]
     got = {r.node: r.component for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -324,6 +352,14 @@ def test_op7_wrappers_with_keywords(opening, closing):
     assert html_blocks.main_text(page) == f"{LONG} {LONG}"
 
 
+@pytest.mark.parametrize("tag", [
+    '<p title="a > b">', "<p title='a > b'>", """<p data-x='{"a":"<b>x</b>"}'>""", '<p title = "a<b" class=x>',
+    '<p title="open>', "<p title=don't>", "<p title='a' data-y=\"b'>c\">", '<p "odd>', '<p a="1"b="2">'])
+def test_op7_quoted_values(tag):
+    rest = f"<p>{LONG}</p><p title='x' lang=\"en\">{LONG}</p>"
+    assert html_blocks.main_text(f"<article>{tag}{LONG}</p>{rest}</article>") == f"{LONG} {LONG} {LONG}"
+
+
 def test_op7_keywords_still_count():
     comments = f"<div id=comments><article class=comment><p>{LONG}</p></article><article class=comment><p>{LONG}</p></article></div>"
     assert html_blocks.main_text(f"<article><h1>Title</h1><p>{LONG[:200]}</p></article>{comments}") == f"Title {LONG[:200].strip()}"
@@ -346,20 +382,37 @@ def test_op8_counts(docs, rows):
     assert got.filter("kept and base_failed or kept is null").count() == 0
 
 
-def test_op9_repeats(docs, rows):
+def test_op9_equal_windows_choose_equal_runs():
+    rng = np.random.default_rng(3)
+    shared = rng.integers(0, 1 << 62, 60, dtype=np.uint64)
+    other = rng.integers(0, 1 << 62, 20, dtype=np.uint64)
+    for window in range(11, 61):
+        passage = shared[:window]
+        for size in substring_dedup._levels(window):
+            places = set()
+            for lead in range(0, 20, 3):
+                hashes = np.concatenate((other[:lead], passage, other[lead:]))
+                at = substring_dedup._extended(substring_dedup._choices(hashes, window), window, size)[lead]
+                assert lead <= at <= lead + window - size
+                places.add(int(at) - lead)
+            assert len(places) == 1
+
+
+@pytest.mark.parametrize("window", [20, 45])
+def test_op9_repeats(docs, rows, window):
     flagged, first = collections.defaultdict(set), {}
     where = sorted((math.inf if i is None else i, k, tuple(re.findall(WORD, t or "")), i) for i, t in rows
-                   for k in range(max(0, len(re.findall(WORD, t or "")) - 19)))
+                   for k in range(max(0, len(re.findall(WORD, t or "")) - window + 1)))
     for key, k, w, _ in where:
-        window = w[k:k + 20]
-        if first.setdefault(window, (key, k)) < (key, k):
-            flagged[(key, w)].update(range(k, k + 20))
+        part = w[k:k + window]
+        if first.setdefault(part, (key, k)) < (key, k):
+            flagged[(key, w)].update(range(k, k + window))
     expected = []
     for i, t in rows:
         w = tuple(re.findall(WORD, t or ""))
         gone = flagged[(math.inf if i is None else i, w)]
         expected.append((i, len(w), len(gone), sha(" ".join(x for k, x in enumerate(w) if k not in gone))))
-    got = substring_dedup.remove_repeats(docs).select("id", "n", "n_removed", F.when(
+    got = substring_dedup.remove_repeats(docs, window=window).select("id", "n", "n_removed", F.when(
         F.col("kept").isNull(), F.col("words_sha")).otherwise(queries.sha256(F.col("kept"))))
     same(got.collect(), expected)
 
