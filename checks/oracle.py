@@ -700,6 +700,21 @@ FROM parsed""",
     "clean_transactions": _with(RAW_ORDERS, PARSED) + f"""
 SELECT order_key, {ts_text('p_date')} AS date, round(p_amount, 4) AS amount,
   round(p_cost, 4) AS cost, category, customer_id, sales_channel AS channel
+FROM parsed WHERE {_CLEAN}""",
+    "broken_csv_rows": """
+SELECT CAST(o_orderkey AS VARCHAR) AS order_key,
+  strftime(o_orderdate, '%Y-%m-%d') AS order_date,
+  CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR) AS total_price,
+  CASE WHEN o_orderkey % 53 <> 0 AND o_orderkey % 47 <> 0
+       THEN o_orderstatus || ', order' END AS status,
+  CASE WHEN o_orderkey % 53 = 0 THEN 3 WHEN o_orderkey % 47 = 0 THEN 5 END AS n_fields,
+  CASE WHEN o_orderkey % 53 = 0 THEN 'too few fields'
+       WHEN o_orderkey % 47 = 0 THEN 'too many fields' END AS cause
+FROM orders""",
+    "clean_sink_touched": _with(RAW_ORDERS, PARSED) + f"""
+SELECT order_key, {ts_text('p_date')} AS date,
+  round(p_amount + CASE WHEN year(p_date) = 1997 THEN 1 ELSE 0 END, 4) AS amount,
+  round(p_cost, 4) AS cost, category, customer_id, sales_channel AS channel
 FROM parsed WHERE {_CLEAN}""",
     "overall_metrics": _with(SALES, kpis("sales")) + f"""
 SELECT round(total_revenue, 2) AS total_revenue, round(total_cost, 2) AS total_cost,
@@ -710,6 +725,7 @@ SELECT round(total_revenue, 2) AS total_revenue, round(total_cost, 2) AS total_c
     "revenue_weekly": series("sales", SALES, "week"),
     "revenue_monthly": series("sales", SALES, "month"),
     "revenue_daily_purchases": series("purchases", PURCHASES, "day", cost=False),
+    "revenue_daily_streamed": series("orders_tx", ORDERS_TX, "day", cost=False),
     "segment_category": segment("category"),
     "segment_product": segment("product"),
     "segment_customer": segment("customer_id"),
@@ -739,6 +755,7 @@ SELECT round(total_revenue, 2) AS total_revenue, round(total_cost, 2) AS total_c
     "similar_topk": similar("list_cosine_similarity(v.embedding, c.center)"),
     "similar_topk_l2": similar("1 / (1 + list_distance(v.embedding, c.center) ** 2)"),
     "index_upsert": INDEX_UPSERT,
+    "index_upsert_stored": INDEX_UPSERT,
     "index_rebuild": INDEX_REBUILD,
     "retrieve_for_questions": RETRIEVE,
     "retrieval_json": RETRIEVAL_JSON,

@@ -18,7 +18,8 @@ from salesloom.operators import bundle as bundles
 from salesloom.operators import cleaning, documents, index, kpi, retrieval, similarity
 from salesloom.plans import context, prompts, report
 from salesloom.session import checkpoint_dir
-from salesloom.sources import index_table, tables
+from salesloom.sources import files, index_table, tables
+from salesloom.streaming import kpi_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUESTION_KEYS = ["conv_id", "turn"]
@@ -66,11 +67,46 @@ def clean_transactions(spark: SparkSession, folder: str) -> DataFrame:
     return _comparable(cleaning.clean_transactions(tables.raw_orders(spark, folder)))
 
 
+def _new_folder(spark: SparkSession, kind: str) -> str:
+    return f"{checkpoint_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+
+
+def broken_csv_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders as CSV files with damaged lines: what is read, and what is kept apart and why."""
+    path = _new_folder(spark, "lines")
+    tables.order_lines(spark, folder).write.text(path)
+    rows, broken = files.read_checked(spark, path, tables.ORDER_LINE)
+    line = F.split("record", ",")
+    apart = broken.select(line[0].alias("order_key"), line[1].alias("order_date"),
+                          line[2].alias("total_price"), "n_fields", "cause")
+    return rows.unionByName(apart, allowMissingColumns=True)
+
+
+def clean_sink_touched(spark: SparkSession, folder: str) -> DataFrame:
+    """Clean rows are stored by month; those of 1997 come again at a changed amount."""
+    path = _new_folder(spark, "clean")
+    clean = cleaning.clean_transactions(tables.raw_orders(spark, folder))
+    files.write_clean(clean, path, partition_by_month=True)
+    again = clean.where(F.year("date") == 1997).withColumn("amount", F.col("amount") + 1)
+    files.write_clean(again, path, partition_by_month=True, touched_only=True)
+    return _comparable(spark.read.parquet(path).drop("month"))
+
+
 # ---------------------------------------------------------------------------
 # KPIs
 # ---------------------------------------------------------------------------
 
 
+def revenue_daily_streamed(spark: SparkSession, folder: str) -> DataFrame:
+    """Daily sums of streamed orders. No order is late: the delay spans all their dates."""
+    orders = tables.orders_tx(spark, folder, streamed=True)
+    path = _new_folder(spark, "daily")
+    kpi_stream.daily_stream(orders, f"{path}/table", f"{path}/state", ["order_key"],
+                            delay="36500 days", once=True).awaitTermination()
+    return _comparable(kpi.series_from(kpi_stream.read_days(spark, f"{path}/table"), "day"))
+
+
+
 def overall_metrics(spark: SparkSession, folder: str) -> DataFrame:
     found = kpi.overall_metrics(tables.sales(spark, folder))
     return _comparable(found, {"gross_profit": 2})
@@ -214,6 +250,18 @@ def index_upsert(spark: SparkSession, folder: str) -> DataFrame:
     return _flat_index(merged)
 
 
+def index_upsert_stored(spark: SparkSession, folder: str) -> DataFrame:
+    """The same merge into an index table, which rewrites the buckets of the new ids."""
+    orders = tables.orders_tx(spark, folder)
+    old = orders.where(F.col("channel").isin("F", "O"))
+    new = (orders.where(F.col("channel").isin("O", "P"))
+           .withColumn("amount", F.col("amount") + 1))
+    path, name = checkpoint_dir(spark), f"index-{uuid.uuid4().hex}"
+    index_table.write_index(documents.index_rows(old, "order_key"), path, name)
+    index_table.write_index(documents.index_rows(new, "order_key"), path, name)
+    return _flat_index(index_table.read_index(spark, path, name))
+
+
 def index_rebuild(spark: SparkSession, folder: str) -> DataFrame:
     """An index table is written, replaced by one of other rows, and read back."""
     orders = tables.orders_tx(spark, folder)
@@ -321,11 +369,14 @@ QUERIES: dict[str, Query] = {
     "validation_report": validation_report,
     "cleaning_summary": cleaning_summary,
     "clean_transactions": clean_transactions,
+    "broken_csv_rows": broken_csv_rows,
+    "clean_sink_touched": clean_sink_touched,
     "overall_metrics": overall_metrics,
     "revenue_daily": _series("day"),
     "revenue_weekly": _series("week"),
     "revenue_monthly": _series("month"),
     "revenue_daily_purchases": _series("day", tables.purchases),
+    "revenue_daily_streamed": revenue_daily_streamed,
     "segment_category": _segment("category"),
     "segment_product": _segment("product"),
     "segment_customer": _segment("customer_id"),
@@ -355,6 +406,7 @@ QUERIES: dict[str, Query] = {
     "similar_topk": _similar("cosine"),
     "similar_topk_l2": _similar("l2"),
     "index_upsert": index_upsert,
+    "index_upsert_stored": index_upsert_stored,
     "index_rebuild": index_rebuild,
     "retrieve_for_questions": retrieve_for_questions,
     "retrieval_json": retrieval_json,

@@ -40,9 +40,13 @@ def sales(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def orders_tx(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per order; no cost and no product."""
-    return table(spark, folder, "orders").select(
+def orders_tx(spark: SparkSession, folder: str, streamed: bool = False) -> DataFrame:
+    """One row per order; no cost and no product. ``streamed`` reads the files as a stream."""
+    orders = table(spark, folder, "orders")
+    if streamed:
+        # A pattern, since a stream takes a plain path for a folder, and the table can be a file.
+        orders = spark.readStream.schema(orders.schema).parquet(f"{folder}/{{orders}}.parquet")
+    return orders.select(
         F.col("o_orderkey").alias("order_key"),
         F.col("o_orderdate").alias("date"),
         F.col("o_totalprice").alias("amount"),
@@ -80,6 +84,20 @@ def vectors(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+#: Columns of ``order_lines``.
+ORDER_LINE = ("order_key", "order_date", "total_price", "status")
+
+
+def order_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders as CSV lines, some with a field too few or too many (recipe in FIXTURES.md)."""
+    k = F.col("o_orderkey")
+    status = F.concat(F.lit('"'), "o_orderstatus", F.lit(', order"'))
+    return table(spark, folder, "orders").select(F.concat_ws(
+        ",", k.cast("string"), F.date_format("o_orderdate", "yyyy-MM-dd"),
+        F.col("o_totalprice").cast("decimal(18,2)").cast("string"),
+        F.when(k % 53 != 0, status), F.when((k % 53 != 0) & (k % 47 == 0), F.lit("more"))).alias("value"))
+
+
 def raw_orders(spark: SparkSession, folder: str) -> DataFrame:
     """Orders as text columns with deterministic damage (recipe in FIXTURES.md).
 
