@@ -14,7 +14,7 @@ from ..functions.formatting import cut, language_code
 from ..operators.bundle import MetricsBundle, digest
 from ..operators.documents import EmbedBatch
 from ..operators.kpi import attach, null_safe_join
-from ..operators.retrieval import context_block, retrieved_rows, search
+from ..operators.retrieval import DEFAULT_TOP_K, context_block, retrieved_rows, search
 from . import context
 from .report import report_text_column
 
@@ -175,11 +175,12 @@ def report_search(bundle: MetricsBundle, index: DataFrame, top_k_rows: int | Non
 
 def report_prompts(bundle: MetricsBundle, language: str = "en", hybrid: bool = False,
                    index: DataFrame | None = None, max_chars: int | None = None,
-                   provider: EmbedBatch | None = None) -> DataFrame:
+                   provider: EmbedBatch | None = None,
+                   top_k_rows: int = DEFAULT_TOP_K) -> DataFrame:
     """One prompt pair per group: ``by, system_prompt, user_prompt``.
 
-    With an ``index`` the most similar transactions follow as a block; ``max_chars``
-    bounds the whole user prompt.
+    With an ``index`` the ``top_k_rows`` most similar transactions follow as a block;
+    ``max_chars`` bounds the whole user prompt.
     """
     row = digest(bundle)
     keys = list(bundle.by) or ["report"]
@@ -187,8 +188,9 @@ def report_prompts(bundle: MetricsBundle, language: str = "en", hybrid: bool = F
     block = None
     if index is not None:
         asked = prompts.select(*keys, context.report_query().alias("query"))
-        rows = retrieved_rows(search(asked, index, "query", keys, provider=provider))
-        blocks = context_block(rows, keys, language, "report", marker=max_chars is not None)
+        rows = retrieved_rows(search(asked, index, "query", keys, top_k_rows, provider))
+        blocks = context_block(rows, keys, language, "report", top_k_rows,
+                               marker=max_chars is not None)
         if not bundle.by:
             blocks = blocks.drop("report")
         prompts = attach(prompts, blocks, bundle.by, "found")

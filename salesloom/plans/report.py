@@ -61,7 +61,9 @@ def best_values(kind: str, limit: int) -> Column:
     return F.filter("segments", lambda s: (s.segment_type == kind) & (s["rank"] <= limit))
 
 
-def segment_lines(segment_types: Sequence[str], language: str = "en") -> Column:
+def segment_lines(segment_types: Sequence[str], language: str = "en",
+                  items: int = REPORT_ITEMS) -> Column:
+    """The ``items`` best values of each type; a bundle holds its ``top_n`` at most."""
     total = F.col("overall.total_revenue")
 
     def item(s: Column) -> Column:
@@ -73,7 +75,7 @@ def segment_lines(segment_types: Sequence[str], language: str = "en") -> Column:
 
     paragraphs = []
     for kind in [s for s in SEGMENTS if s in segment_types]:
-        best = best_values(kind, REPORT_ITEMS)
+        best = best_values(kind, items)
         header = _say(language, "segments.top_segment_header",
                       segment_label=F.lit(title_label(kind)))
         nothing = F.array(_say(language, "segments.no_data_for_segment",
@@ -148,10 +150,10 @@ SECTION_RULES = {
 
 
 def section_lines(row: DataFrame, segment_types: Sequence[str],
-                  language: str = "en") -> dict[str, Column]:
+                  language: str = "en", items: int = REPORT_ITEMS) -> dict[str, Column]:
     return {
         "overview": overview_lines(row, language),
-        "segments": segment_lines(segment_types, language),
+        "segments": segment_lines(segment_types, language, items),
         "trend": trend_lines(language),
         "anomaly": anomaly_lines(language),
     }
@@ -168,39 +170,43 @@ def _numbered(row: DataFrame, by: Sequence[str], lines: Column) -> DataFrame:
                       (F.col("at") + 1).alias("line_no"), F.col("line.text").alias("text"))
 
 
-def report_section(bundle: MetricsBundle, section: str, language: str = "en") -> DataFrame:
+def report_section(bundle: MetricsBundle, section: str, language: str = "en",
+                   items: int = REPORT_ITEMS) -> DataFrame:
     """Lines of one section: ``by, section, line_no, text``."""
     row = digest(bundle)
-    lines = section_lines(row, bundle.segment_types, language)[section]
+    lines = section_lines(row, bundle.segment_types, language, items)[section]
     return _numbered(row, bundle.by, _tagged(section, lines))
 
 
-def report_array(row: DataFrame, segment_types: Sequence[str], language: str = "en") -> Column:
+def report_array(row: DataFrame, segment_types: Sequence[str], language: str = "en",
+                 items: int = REPORT_ITEMS) -> Column:
     """The full report of a digest row as ``array<struct<section, text>>``."""
     blank = F.array(F.lit(""))
     parts = [_tagged("title", F.array(F.lit(label("report.title", language)),
                                       F.lit(label("report.underline", language))))]
-    for section, lines in section_lines(row, segment_types, language).items():
+    for section, lines in section_lines(row, segment_types, language, items).items():
         heading = F.array(F.lit(label(f"report.section.{section}", language)),
                           F.lit(SECTION_RULES[section]))
         parts.append(_tagged(section, F.concat(blank, heading, lines)))
     return F.concat(*parts)
 
 
-def full_report(bundle: MetricsBundle, language: str = "en") -> DataFrame:
+def full_report(bundle: MetricsBundle, language: str = "en",
+                items: int = REPORT_ITEMS) -> DataFrame:
     """All report lines in order: ``by, section, line_no, text``."""
     row = digest(bundle)
-    return _numbered(row, bundle.by, report_array(row, bundle.segment_types, language))
+    return _numbered(row, bundle.by, report_array(row, bundle.segment_types, language, items))
 
 
 def report_text_column(row: DataFrame, segment_types: Sequence[str],
-                       language: str = "en") -> Column:
-    lines = report_array(row, segment_types, language)
+                       language: str = "en", items: int = REPORT_ITEMS) -> Column:
+    lines = report_array(row, segment_types, language, items)
     return F.array_join(F.transform(lines, lambda x: x.text), "\n")
 
 
-def report_text(bundle: MetricsBundle, language: str = "en") -> DataFrame:
+def report_text(bundle: MetricsBundle, language: str = "en",
+                items: int = REPORT_ITEMS) -> DataFrame:
     """The whole report as one text per group."""
     row = digest(bundle)
     return row.select(*bundle.by,
-                      report_text_column(row, bundle.segment_types, language).alias("report"))
+                      report_text_column(row, bundle.segment_types, language, items).alias("report"))
