@@ -8,12 +8,15 @@ and all their words.
   average, as many whole bands of counts (``BANDS`` to a doubling) as fit. A table of proven size, which is
   broadcast with its counts and classes. Head and tail differ in how they travel, not in what they get.
 * Texts are encoded once: ranks of head words, and ids of the others (63 bits: a hash, and the class the word
-  starts in). The uses of a tail word, its neighbours on both sides, are one row of a table.
+  starts in). Words are dealt to blocks: head words by rank, tail words by hash, as many blocks as keep about
+  ``BLOCK_USES`` uses in each. A row of the table is a block: words, classes and neighbours packed as numbers,
+  so a round handles arrays and no row per word. A word's uses lie in its block, however many they are.
 * A round counts the classes before and after each word: pairs of head words from the encoded texts, all
-  others from the tail's uses, where a tail word tells its tail neighbours its class by a message. A row
-  per word then chooses the class that explains the neighbours best, given all others; of the rest only
-  the matrix of classes is sent (half of the words a round, so that pairs don't change places for ever).
-  Rounds end when both halves together move less than ``SETTLED`` of the tokens, or after ``ROUNDS``.
+  others from the tail's blocks, where a tail word tells its tail neighbours its class by a message. Head
+  counts go out as sums per task and block. Each word then takes the class that explains its neighbours best,
+  given all others; of the rest only the matrix of classes and the classes of the head are sent (half of the
+  words a round, so that pairs don't change places for ever). Rounds end when both halves together move less
+  than ``SETTLED`` of the tokens, or after ``ROUNDS``. The table of a round replaces that of the round before.
 * The end is a class of its own. Class transitions are smoothed toward class shares. An unknown word is in the
   class with most words seen once, whose words are smoothed by one: it has what a word never seen has.
 """
@@ -21,7 +24,6 @@ and all their words.
 from __future__ import annotations
 
 import math
-import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -34,18 +36,19 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from salesloom.llm.storage import cut, prepare
+from salesloom.llm.storage import cut, prepare, removed, stored
 
 HEAD, HEAD_BYTES, BANDS = 262_144, 64, 8
 CLASSES, ROUNDS, SETTLED = 32, 12, 0.02
 SMOOTHING = 10.0
 END = ""
 _END_CLASS, _WIDTH = 0, CLASSES + 1
-#: Cells of a word: a class on the left, a class on the right, and its own class. A cell has its number in 32 bits.
-_LEFT, _RIGHT, _OWN, _CELLS = 0, _WIDTH, 2 * _WIDTH, 128
-_COUNT_BITS = 25
+#: Cells of a word: a class on the left, or a class on the right.
+_LEFT, _RIGHT, _CELLS = 0, _WIDTH, 2 * _WIDTH
+#: Words of a head block, whose cells have numbers of 16 bits, and uses of a tail block.
+_HEAD_BLOCK, BLOCK_USES = 512, 65_536
 _FLUSH = 400_000
-_ROWS = 1_000
+_ROWS, _TASKS = 1_000, 64
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -133,133 +136,241 @@ def _sequence(ranks: pa.Array, tails: pa.Array, end: int) -> tuple[np.ndarray, n
     return np.insert(out, stops, end), stops + np.arange(1, len(stops) + 1)
 
 
-def _packed_rows(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, pa.Array]:
-    """Distinct keys with the bytes of all their values."""
-    order = np.argsort(keys, kind="stable")
-    keys, values = keys[order], np.ascontiguousarray(values[order])
+#: A block of the head (below zero) has ``cells`` and ``counts``; one of the tail its ``words`` in order with their
+#: ``classes``, ``uses`` and neighbours ``near``, and messages: the cell ``cells`` for the word with the number ``to``.
+#: On the way a message names its word in ``words``. ``moved`` counts uses whose word changed its class.
+_BLOCK = pa.schema([("block", pa.int64()), ("moved", pa.int64()), *[(name, pa.binary()) for name in (
+    "words", "classes", "uses", "near", "to", "cells", "counts", "matrix")]])
+_BLOCK_SQL = "block long, moved long, " + ", ".join(f"{name} binary" for name in _BLOCK.names[2:])
+
+
+def _block_rows(rows: list[dict]) -> pa.RecordBatch:
+    packed = [{k: v.tobytes() if isinstance(v, np.ndarray) else v for k, v in row.items()} for row in rows]
+    return pa.RecordBatch.from_pylist(packed, schema=_BLOCK)
+
+
+def _numbered(row: dict, name: str, kind: type) -> np.ndarray:
+    return np.frombuffer(row[name] or b"", dtype=kind)
+
+
+def _runs(keys: np.ndarray) -> Iterator[tuple[int, slice]]:
+    """The distinct numbers of a sorted array with their places."""
     first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.empty(0, dtype=np.int64)
-    size = values.nbytes // max(1, len(values))
-    offsets = (np.append(first, len(keys)) * size).astype(np.int64)
-    packed = pa.LargeBinaryArray.from_buffers(
-        pa.large_binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(values)])
-    return keys[first], packed.cast(pa.binary())
-
-
-def _cells(words: np.ndarray, cells: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Rows (word, cells); a number too large for its bits takes several cells."""
-    most = (1 << _COUNT_BITS) - 1
-    while len(words):
-        part = np.minimum(counts, most)
-        for k in range(0, len(words), 4_000_000):
-            here = slice(k, k + 4_000_000)
-            own, packed = _packed_rows(words[here], (cells[here] << _COUNT_BITS | part[here]).astype(np.uint32))
-            yield pa.RecordBatch.from_arrays([pa.array(own), packed], names=["word", "cells"])
-        left = counts > most
-        words, cells, counts = words[left], cells[left], (counts - part)[left]
-
-
-def _dense_cells(counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for a, b in zip(first.tolist(), [*first[1:].tolist(), len(keys)]):
+        yield int(keys[a]), slice(a, b)
+
+
+def _dealt(words: np.ndarray, blocks: int) -> np.ndarray:
+    """Blocks of tail words; the low bits of an id hold its class and turn."""
+    return (words >> 8) % blocks
+
+
+def _head_rows(counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Cells of the head, one byte a count where that will do."""
     at = np.flatnonzero(counts)
-    yield from _cells(at // _OWN, at % _OWN, counts[at].astype(np.int64))
+    found = counts[at]
+    for here, kind in ((found < 256, np.uint8), (found >= 256, np.int64)):
+        cells, n = at[here], found[here].astype(kind)
+        block = cells // (_HEAD_BLOCK * _CELLS)
+        cells = (cells % (_HEAD_BLOCK * _CELLS)).astype(np.uint16)
+        rows = [{"block": -1 - b, "cells": cells[k], "counts": n[k]} for b, k in _runs(block)]
+        for k in range(0, len(rows), 64):
+            yield _block_rows(rows[k:k + 64])
 
 
 def _head_contexts(shared):
     """Cells of head words (and the end, the rank behind them) next to head words."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes = shared.value
-        counts = np.zeros(len(classes) * _OWN, dtype=np.int32)
+        counts = np.zeros(len(classes) * _CELLS, dtype=np.int32)
         for batch in _slices(batches):
             right, _ = _sequence(batch.column(0), batch.column(1), len(classes) - 1)
             left = np.concatenate(([len(classes) - 1], right[:-1]))
             both = (left >= 0) & (right >= 0)
             left, right = left[both], right[both]
-            np.add.at(counts, right * _OWN + _LEFT + classes[left], 1)
-            np.add.at(counts, left * _OWN + _RIGHT + classes[right], 1)
-        yield from _dense_cells(counts)
+            np.add.at(counts, right * _CELLS + _LEFT + classes[left], 1)
+            np.add.at(counts, left * _CELLS + _RIGHT + classes[right], 1)
+        yield from _head_rows(counts)
 
     return run
 
 
-def _uses(end: int):
-    """(word, uses): of every tail word the ranks or ids on its left and right, in pairs."""
+def _uses(end: int, blocks: int):
+    """Tail words with the ranks or ids on their left and right, one entry per use."""
+    def out(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        words, near = (np.concatenate(x) for x in zip(*found))
+        block = _dealt(words, blocks)
+        order = np.argsort(block, kind="stable")
+        words, near = words[order], near[order]
+        return _block_rows([{"block": b, "words": words[k], "near": near[k]} for b, k in _runs(block[order])])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, size = [], 0
         for batch in _slices(batches):
             words, _ = _sequence(batch.column(0), batch.column(1), end)
             at = np.flatnonzero(words < 0)
-            own, packed = _packed_rows(words[at], np.stack((np.concatenate(([end], words))[at], words[at + 1]), axis=1))
-            yield pa.RecordBatch.from_arrays([pa.array(own), packed], names=["word", "uses"])
+            found.append((words[at], np.stack((np.concatenate(([end], words))[at], words[at + 1]), axis=1)))
+            size += len(at)
+            if size > _FLUSH:
+                yield out(found)
+                found, size = [], 0
+        if size:
+            yield out(found)
 
     return run
 
 
-def _flat(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
-    """All numbers in a column of lists of bytes, and each one's row."""
-    inner = column.flatten()
-    sizes = pc.binary_length(inner).to_numpy(zero_copy_only=False) // np.dtype(kind).itemsize
-    return _numbers(inner, kind), np.repeat(pc.list_parent_indices(column).to_numpy(), sizes)
+def _started(_key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    """A tail block from all its uses, with the classes to start with."""
+    words = _numbers(table.column("words"), np.int64)
+    near = _numbers(table.column("near"), np.int64).reshape(-1, 2)
+    order = np.argsort(words, kind="stable")
+    names, uses = np.unique(words, return_counts=True)
+    return pa.Table.from_batches([_block_rows([{
+        "block": table.column("block")[0].as_py(), "moved": 0, "words": names, "classes": _start(names).astype(np.uint8),
+        "uses": uses.astype(np.int32), "near": near[order]}])])
 
 
-def _tail_contexts(shared):
-    """Cells of tail words next to head words, of head words next to tail words, and messages between tail words.
+def _tail_cells(row: dict, head: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Number of the word, and cell, of all that is next to the words of a tail block."""
+    uses = _numbered(row, "uses", np.int32)
+    near = _numbered(row, "near", np.int64).reshape(-1, 2)
+    word = np.repeat(np.arange(len(uses)), uses)
+    words, cells = [_numbered(row, "to", np.int32)], [_numbered(row, "cells", np.uint8)]
+    for side, first in ((near[:, 0], _LEFT), (near[:, 1], _RIGHT)):
+        known = side >= 0
+        words.append(word[known])
+        cells.append(first + head[side[known]])
+    return np.concatenate(words), np.concatenate(cells)
 
-    A pair of tail words is a use of both; each tells the other its class.
+
+def _counted(words: np.ndarray, cells: np.ndarray, size: int) -> np.ndarray:
+    return np.bincount(words.astype(np.int64) * _CELLS + cells, minlength=size * _CELLS).reshape(size, _CELLS)
+
+
+def _tail_sent(shared):
+    """Tail blocks after their choice, what they count for the head, and their messages to other tail words.
+
+    A pair of tail words is a use of both; each tells the other its class. The choice goes by the classes
+    the contexts were counted with (``old``), and is left out before the first round (``gain`` is None).
     """
+    def messages(found: list[tuple[np.ndarray, np.ndarray]], blocks: int) -> pa.RecordBatch:
+        words, cells = (np.concatenate(x) for x in zip(*found))
+        block = _dealt(words, blocks)
+        order = np.argsort(block, kind="stable")
+        words, cells = words[order], cells[order].astype(np.uint8)
+        return _block_rows([{"block": b, "words": words[k], "cells": cells[k]} for b, k in _runs(block[order])])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes = shared.value
-        counts = np.zeros(len(classes) * _OWN, dtype=np.int32)
-        for batch in _slices(batches):
-            words, own = batch.column(0).to_numpy(), batch.column(2).to_numpy().astype(np.int64)
-            numbers, row = _flat(batch.column(1), np.int64)
-            row, found = row[::2], [(words, _OWN + own)]
-            for near, mine, theirs in ((numbers[::2], _LEFT, _RIGHT), (numbers[1::2], _RIGHT, _LEFT)):
-                head = near >= 0
-                found.append((words[row[head]], mine + classes[near[head]]))
-                found.append((near[~head], theirs + own[row[~head]]))
-                np.add.at(counts, near[head] * _OWN + theirs + own[row[head]], 1)
-            to, cells = (np.concatenate(x) for x in zip(*found))
-            yield from _cells(to, cells, np.ones(len(to), dtype=np.int64))
-        yield from _dense_cells(counts)
+        old, head, gain, turn, blocks = shared.value
+        counts = np.zeros(len(head) * _CELLS, dtype=np.int32)
+        found, size = [], 0
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
+                words, own = _numbered(row, "words", np.int64), _numbered(row, "classes", np.uint8).astype(np.int64)
+                uses, moved = _numbered(row, "uses", np.int32), 0
+                if gain is not None:
+                    best = (_counted(*_tail_cells(row, old), len(words)) @ gain).argmax(axis=1) + 1
+                    new = np.where(_turn(words) == turn % 2, best, own)
+                    moved, own = int(uses[new != own].sum()), new
+                yield _block_rows([{"block": row["block"], "moved": moved, "words": words, "uses": uses,
+                                    "classes": own.astype(np.uint8), "near": row["near"]}])
+                near, each = _numbered(row, "near", np.int64).reshape(-1, 2), np.repeat(own, uses)
+                for side, theirs in ((near[:, 0], _RIGHT), (near[:, 1], _LEFT)):
+                    known = side >= 0
+                    np.add.at(counts, side[known] * _CELLS + theirs + each[known], 1)
+                    found.append((side[~known], theirs + each[~known]))
+                    size += len(found[-1][0])
+                if size > _FLUSH:
+                    yield messages(found, blocks)
+                    found, size = [], 0
+        if size:
+            yield messages(found, blocks)
+        yield from _head_rows(counts)
 
     return run
 
 
-def _counted(batch: pa.RecordBatch) -> np.ndarray:
-    """[row, cell] numbers of a batch whose second column has lists of cells."""
-    cells, row = _flat(batch.column(1), np.uint32)
-    at = row * _CELLS + (cells >> _COUNT_BITS)
-    counts = np.bincount(at, cells & ((1 << _COUNT_BITS) - 1), batch.num_rows * _CELLS)
-    return counts.reshape(-1, _CELLS).astype(np.int64)
-
+def _head_block(table: pa.Table) -> np.ndarray:
+    """[word, cell] counts of a head block."""
+    counts = np.zeros(_HEAD_BLOCK * _CELLS, dtype=np.int64)
+    for cells, numbers in zip(table.column("cells").to_pylist(), table.column("counts").to_pylist()):
+        at = np.frombuffer(cells, dtype=np.uint16)
+        counts[at] += np.frombuffer(numbers, dtype=np.uint8 if len(numbers) == len(at) else np.int64)
+    return counts.reshape(_HEAD_BLOCK, _CELLS)
+
+
+def _head_summed(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    """The sum of a part of the rows of a head block; rows of the tail as they are."""
+    if key[0].as_py() >= 0:
+        return table.select(_BLOCK.names)
+    rows = [{**row, "block": key[0].as_py()} for batch in _head_rows(_head_block(table).ravel())
+            for row in batch.to_pylist()]
+    return pa.Table.from_batches([_block_rows(rows)])
+
+
+def _gathered(shared):
+    """A block with all that came for it, and its share of the matrix of classes: [left class, class]."""
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        classes, block = shared.value, key[0].as_py()
+        matrix = np.zeros((_WIDTH, _WIDTH), dtype=np.int64)
+        if block < 0:
+            counts = _head_block(table)
+            own = np.zeros(_HEAD_BLOCK, dtype=np.int64)
+            here = classes[(-1 - block) * _HEAD_BLOCK:][:_HEAD_BLOCK]
+            own[:len(here)] = here
+            np.add.at(matrix.T, own, counts[:, _LEFT:_LEFT + _WIDTH])
+            at = np.flatnonzero(counts)
+            row = {"cells": at.astype(np.uint16), "counts": counts.ravel()[at]}
+        else:
+            rows = table.to_pylist()
+            row = next(r for r in rows if r["uses"] is not None)
+            sent = [r for r in rows if r["uses"] is None]
+            words = np.frombuffer(b"".join(r["words"] for r in sent), dtype=np.int64)
+            row["to"] = np.searchsorted(_numbered(row, "words", np.int64), words).astype(np.int32)
+            row["cells"] = np.frombuffer(b"".join(r["cells"] for r in sent), dtype=np.uint8)
+            at, cells = _tail_cells({k: v.tobytes() if k in ("to", "cells") else v for k, v in row.items()}, classes)
+            left = cells < _WIDTH
+            np.add.at(matrix, (cells[left], _numbered(row, "classes", np.uint8)[at[left]]), 1)
+        return pa.Table.from_batches([_block_rows([{**row, "block": block, "matrix": matrix}])])
 
-def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in _slices(batches):
-        counts = _counted(batch)
-        row, cell = np.nonzero(counts)
-        yield from _cells(batch.column(0).to_numpy()[row], cell, counts[row, cell])
+    return run
 
 
-def _with_class(batch: pa.RecordBatch, head: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words, their classes, and [row, cell] numbers of a batch."""
-    words, counts = batch.column(0).to_numpy(), _counted(batch)
-    own = counts[:, _OWN:_OWN + _WIDTH].argmax(axis=1)
-    own[words >= 0] = head[words[words >= 0]]
-    return words, own, counts
+def _matrix_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(_WIDTH * _WIDTH, dtype=np.int64)
+    for batch in batches:
+        for value in batch.column(0):
+            total += np.frombuffer(value.as_py(), dtype=np.int64)
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["cell", "n"])
 
 
-def _pairs(shared):
-    """Cells of the matrix of classes."""
+def _head_chosen(shared):
+    """(block, classes) of head blocks: the class that explains the neighbours of each word best."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((_WIDTH, _WIDTH), dtype=np.int64)
-        for batch in _slices(batches):
-            _, own, found = _with_class(batch, shared.value)
-            np.add.at(counts, own, found[:, _LEFT:_LEFT + _WIDTH])
-        right, left = np.nonzero(counts)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(left * _WIDTH + right), pa.array(counts[right, left])], names=["cell", "n"])
+        gain = shared.value
+        for batch in batches:
+            for k in range(batch.num_rows):
+                counts = _head_block(pa.Table.from_batches([batch.slice(k, 1)]))
+                best = (counts @ gain).argmax(axis=1) + 1
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(k, 1), pa.array([best.astype(np.uint8).tobytes()], pa.binary())],
+                    names=["block", "classes"])
 
     return run
 
 
+def _tail_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for words, uses, classes in zip(*(column.to_pylist() for column in batch.columns)):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.frombuffer(words, dtype=np.int64)),
+                 pa.array(np.frombuffer(uses, dtype=np.int32).astype(np.int64)),
+                 pa.array(np.frombuffer(classes, dtype=np.uint8).astype(np.int64))], names=["word", "n", "class"])
+
+
 def gains(matrix: np.ndarray) -> np.ndarray:
     """[cell, class]: what a neighbour adds to the likelihood of a word in a class (1 to ``CLASSES``)."""
     counts = matrix + 0.1
@@ -267,23 +378,6 @@ def gains(matrix: np.ndarray) -> np.ndarray:
     return np.concatenate((after - own, after.T))[:, 1:]
 
 
-def _chosen(shared):
-    """(word, n, class, moved) of the words: those of the turn take the class that explains their neighbours best."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, ids, gain, turn = shared.value
-        for batch in _slices(batches):
-            words, own, counts = _with_class(batch, head)
-            best = (counts[:, :_OWN] @ gain).argmax(axis=1) + 1
-            names = words.copy()
-            names[words >= 0] = ids[words[words >= 0]]
-            new = np.where((_turn(names) == turn % 2) & (own != _END_CLASS), best, own)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(words), pa.array(counts[:, _LEFT:_RIGHT].sum(axis=1)), pa.array(new.astype(np.int64)),
-                 pa.array(new != own)], names=["word", "n", "class", "moved"])
-
-    return run
-
-
 class BrownModel:
     """A trained model. ``head`` are words with ``counts`` and ``classes`` (the end is behind them), ``tail`` a table
     (word, n, class) of all others. ``encoded`` are the rows (id, held_out, ranks, tails), held out ones as well."""
@@ -298,21 +392,27 @@ class BrownModel:
         self.ids = np.array([word_id(w.encode()) for w in self.head] + [0], dtype=np.int64)
         self.classes = np.append(_start(self.ids[:-1]), _END_CLASS)
         self.encoded = self._encode(rows)
-        train = self.encoded.filter("not held_out").select("ranks", "tails")
-        uses = train.filter("octet_length(tails) > 0").mapInArrow(_uses(len(self.head)), "word long, uses binary")
-        self.uses = cut(uses.groupBy("word").agg(F.collect_list("uses").alias("uses")))
-        self.tail = None
+        self._train(self.encoded.filter("not held_out").select("ranks", "tails"))
+
+    def _train(self, train: DataFrame) -> None:
+        self.blocks = 1 + (self.tokens - int(self.counts.sum())) // BLOCK_USES
+        uses = train.filter("octet_length(tails) > 0").mapInArrow(_uses(len(self.head), self.blocks), _BLOCK_SQL)
+        table = stored(uses.groupBy("block").applyInArrow(_started, _BLOCK_SQL), "classes")
+        table = self._round(train, table, self.classes, None, 0)
+        matrix = self._matrix(table)
         self.moves: list[float] = []
-        contexts = self._contexts(train)
-        matrix = self._matrix(contexts)
         for turn in range(ROUNDS):
-            self._choose(contexts, matrix, turn)
-            contexts = None
-            spark.sparkContext._jvm.System.gc()  # Spark removes files of tables that are gone when memory is collected
-            contexts = self._contexts(train)
-            matrix = self._matrix(contexts)
+            gain, old = gains(matrix), self.classes
+            moved = self._choose_head(table, gain, turn)
+            table = self._round(train, table, old, gain, turn)
+            matrix = self._matrix(table)
+            moved += table.agg(F.sum("moved")).first()[0] or 0
+            self.moves.append(moved / max(1, self.tokens))
             if turn and sum(self.moves[-2:]) < SETTLED:
                 break
+        self.table = table
+        self.tail = table.filter("block >= 0").select("words", "uses", "classes").mapInArrow(
+            _tail_words, "word long, n long, class long")
         self._estimate(matrix)
 
     def _head(self, vocabulary: DataFrame) -> tuple[list[str], np.ndarray]:
@@ -334,47 +434,51 @@ class BrownModel:
         return [names[i] for i in order], counts[order]
 
     def _encode(self, rows: DataFrame) -> DataFrame:
-        spark = rows.sparkSession
-        folder = f"{spark.sparkContext.getCheckpointDir()}/encoded-{uuid.uuid4().hex}"
-        shared = spark.sparkContext.broadcast("\n".join(self.head))
+        shared = rows.sparkSession.sparkContext.broadcast("\n".join(self.head))
         encoded = rows.mapInArrow(_encoded(shared), "id long, held_out boolean, ranks binary, tails binary")
-        encoded.write.option("compression", "zstd").parquet(folder)
+        out = stored(encoded, "encoded")
         shared.destroy()
-        return spark.read.schema(encoded.schema).parquet(folder)
+        return out
 
-    def _contexts(self, train: DataFrame) -> DataFrame:
-        """(word, cells) of all words for the classes as they are."""
-        shared = train.sparkSession.sparkContext.broadcast(self.classes)
-        if self.tail is None:
-            uses = self.uses.withColumn("class", F.pmod("word", F.lit(CLASSES)) + 1)
-        else:
-            uses = self.uses.join(self.tail.select("word", "class"), "word").select("word", "uses", "class")
-        schema = "word long, cells binary"
-        found = train.mapInArrow(_head_contexts(shared), schema).union(uses.mapInArrow(_tail_contexts(shared), schema))
-        found = found.groupBy("word").agg(F.collect_list("cells").alias("cells")).mapInArrow(_merged, schema)
-        out = cut(found.select("word", F.array("cells").alias("cells")))
+    def _round(self, train: DataFrame, table: DataFrame, old: np.ndarray, gain: np.ndarray | None, turn: int) -> DataFrame:
+        """The blocks after the tail's choice, with contexts for the classes as they are now; ``table`` is removed."""
+        context = train.sparkSession.sparkContext
+        shared = context.broadcast(self.classes)
+        sent = context.broadcast((old, self.classes, gain, turn, self.blocks))
+        tail = table.filter("block >= 0").mapInArrow(_tail_sent(sent), _BLOCK_SQL)
+        found = train.mapInArrow(_head_contexts(shared), _BLOCK_SQL).union(tail)
+        tasks = found.rdd.getNumPartitions()
+        if tasks > _TASKS:  # head rows of very many tasks are summed in parts first
+            part = F.when(F.col("block") < 0, F.spark_partition_id() % math.isqrt(tasks)).otherwise(F.lit(0))
+            found = found.withColumn("part", part).groupBy("block", "part").applyInArrow(_head_summed, _BLOCK_SQL)
+        out = stored(found.groupBy("block").applyInArrow(_gathered(shared), _BLOCK_SQL), "classes")
         shared.destroy()
+        sent.destroy()
+        removed(table)
+        context._jvm.System.gc()  # Spark removes shuffle files of past rounds when memory is collected
         return out
 
-    def _matrix(self, contexts: DataFrame) -> np.ndarray:
+    def _matrix(self, table: DataFrame) -> np.ndarray:
         """[left class, class] counts."""
-        shared = contexts.sparkSession.sparkContext.broadcast(self.classes)
-        cells = contexts.mapInArrow(_pairs(shared), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-        shared.destroy()
+        cells = table.select("matrix").mapInArrow(_matrix_cells, "cell long, n long")
         out = np.zeros(_WIDTH * _WIDTH)
-        out[cells.column("cell").to_numpy()] = cells.column("n").to_numpy()
+        for cell, n in cells.groupBy("cell").agg(F.sum("n")).collect():
+            out[cell] = n
         return out.reshape(_WIDTH, _WIDTH)
 
-    def _choose(self, contexts: DataFrame, matrix: np.ndarray, turn: int) -> None:
-        shared = contexts.sparkSession.sparkContext.broadcast((self.classes, self.ids, gains(matrix), turn))
-        words = cut(contexts.mapInArrow(_chosen(shared), "word long, n long, class long, moved boolean"))
+    def _choose_head(self, table: DataFrame, gain: np.ndarray, turn: int) -> int:
+        """Classes of the head's words of the turn; returns the uses that moved."""
+        shared = table.sparkSession.sparkContext.broadcast(gain)
+        best = table.filter("block < 0").select("block", "cells", "counts").mapInArrow(
+            _head_chosen(shared), "block long, classes binary").toArrow()
         shared.destroy()
-        moved = words.agg(F.sum(F.when(F.col("moved"), F.col("n")).otherwise(0))).first()[0] or 0
-        self.moves.append(moved / max(1, self.tokens))
-        head = words.filter("word >= 0").select("word", "class").toArrow()
-        self.classes = self.classes.copy()
-        self.classes[head.column("word").to_numpy()] = head.column("class").to_numpy()
-        self.tail = words.filter("word < 0").select("word", "n", "class")
+        new = self.classes.copy()
+        for block, classes in zip(best.column("block").to_pylist(), best.column("classes").to_pylist()):
+            here = slice((-1 - block) * _HEAD_BLOCK, (-block) * _HEAD_BLOCK)
+            new[here] = np.frombuffer(classes, dtype=np.uint8)[:len(new[here])]
+        new = np.where((_turn(self.ids) == turn % 2) & (np.arange(len(new)) < len(self.head)), new, self.classes)
+        changed, self.classes = new != self.classes, new
+        return int(self.counts[changed[:-1]].sum())
 
     def _estimate(self, counts: np.ndarray) -> None:
         size = counts.sum(axis=0)
@@ -479,6 +583,8 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.sum(F.log10((F.col("n") + 1) / F.lit(float(model.base_total)))).alias("base_tail"),
         F.sum(own).alias("own_tail")))
     shared = spark.sparkContext.broadcast(model.transition)
+    removed(model.encoded)
+    removed(model.table)
     steps = sums.select("row", "uses").mapInArrow(_tail_steps(shared), "row long, steps double")
     out = scored.drop("tail").join(sums.drop("uses"), "row", "left").join(steps, "row", "left")
     return out.select("id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"),

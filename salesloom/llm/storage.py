@@ -34,3 +34,12 @@ def stored(frame: DataFrame, name: str) -> DataFrame:
     folder = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
     frame.write.option("compression", "zstd").parquet(folder)
     return spark.read.schema(frame.schema).parquet(folder)
+
+
+def removed(frame: DataFrame) -> None:
+    """Removes the files of a ``stored`` frame that nothing reads any more."""
+    spark = frame.sparkSession
+    name = frame.inputFiles()
+    if name:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name[0].rsplit("/", 1)[0])
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
