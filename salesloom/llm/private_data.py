@@ -1,15 +1,20 @@
 """Personal data: four kinds by pattern, and unseen identifiers by bootstrapped contexts.
 
-Columns and DataFrame functions only. The matches of the patterns are the seeds. A lexical pattern
-is the word before a token that holds a digit or @; in a graph of patterns and tokens
-
-* a pattern's confidence in a kind is the sum of its distinct tokens' scores over their number,
-  plus one that failed, and is nothing with fewer than ``MIN_SUPPORT`` tokens that score;
+Columns and DataFrame functions only. A lexical pattern is what stands before a token: a label with its sign
+and quote (``token = "``, ``member: ``), or a word and a space. Candidates are tokens of ``MIN_SIZE`` characters
+or more that hold a digit or @. Seeds are candidates that a match of the four kinds overlaps, and those
+with the shape and entropy of a secret (``SECRET``, ``MIN_ENTROPY``). In a graph of patterns and tokens
+
+* a pattern's confidence is the sum of its distinct tokens' scores over their number, plus one that failed, and
+  is nothing with fewer than ``MIN_SUPPORT`` tokens that score. A label's tokens are all that follow it; for
+  a word, each of its other uses anywhere in the corpus is one that failed, which rules out common words;
 * a token's score is 1 for a seed, else the best confidence among its patterns, if that reaches
   ``MIN_CONFIDENCE``.
 
-``ROUNDS`` rounds let found tokens lend support to further patterns. Tokens found in the end give
-spans of kind ``found`` wherever a trusted pattern precedes them and no seed overlaps.
+Confidence is cut to hundredths and only grows, so rounds end by themselves: when none changes. Candidates
+that follow a trusted pattern give spans of kind ``found`` where no match of the four kinds overlaps them; a
+secret without a trusted pattern before it gives none. An empty table gives no rows, and ties don't arise:
+every decision is a sum or a maximum. Added columns are taken from ``docs`` by name only where named.
 
 Places come from running sums over the gaps between matches, one row per match, so a text with any
 number of matches takes linear time. The patterns start at the beginning of a run of characters and
@@ -31,9 +36,12 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 BYTE = r"0*+(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5]|(?<=0))"
-CONTEXT = r"(?<!\S)(\S++)\s++(?=([^\s0-9@]*+[0-9@]\S*+))"
+VALUE = r"[^\s\"'<>,;]"
+CONTEXT = (r"(?<![\p{L}\p{N}_.-])[\p{L}_][\p{L}\p{N}_.-]*+\s*+[:=]\s*+[\"']?+(?=(" + VALUE + "++))"
+           r"|(?<!\S)[^\s0-9@:=]++\s++(?=((?:(?![0-9@])" + VALUE + ")*+[0-9@]" + VALUE + "*+))")
+SECRET = r"^(?=(?:[^0-9]*[0-9]){4})(?=(?:[^A-Za-z]*[A-Za-z]){4})[A-Za-z0-9+/_=-]{16,}$"
 FOUND = "found"
-ROUNDS, MIN_SUPPORT, MIN_CONFIDENCE = 2, 5, 0.6
+MIN_SUPPORT, MIN_CONFIDENCE, MIN_SIZE, MIN_ENTROPY = 5, 0.6, 6, 2.8
 
 
 def row_key(id_col: str, text_col: str) -> Column:
@@ -88,36 +96,88 @@ def base_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def contexts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(row, pattern, token, start): tokens with a digit or @, the word before, and where they start."""
+    """(row, pattern, token, start): what follows labels, tokens with a digit or @ after words, and where they start."""
     rows = docs.select(row_key(id_col, text_col).alias("row"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.filter(F.regexp_like("text", F.lit("[0-9@]"))).dropDuplicates(["row"])
+    rows = rows.filter(F.regexp_like("text", F.lit("[0-9@:=]"))).dropDuplicates(["row"])
     text, pattern = F.col("text"), F.lit(CONTEXT)
     zipped = F.arrays_zip(F.transform(F.split(text, CONTEXT), lambda x: F.char_length(x)).alias("gap"),
                           F.regexp_extract_all(text, pattern, F.lit(0)).alias("whole"),
-                          F.regexp_extract_all(text, pattern, F.lit(1)).alias("word"),
-                          F.regexp_extract_all(text, pattern, F.lit(2)).alias("token"))
-    found = rows.select("row", F.posexplode(zipped).alias("at", "p")).select(
+                          F.regexp_extract_all(text, pattern, F.lit(1)).alias("labelled"),
+                          F.regexp_extract_all(text, pattern, F.lit(2)).alias("other"))
+    found = rows.select("row", F.posexplode(zipped).alias("at", "p")).filter("p.whole is not null").select(
         "row", "at", F.col("p.gap").alias("gap"), F.char_length("p.whole").alias("whole"),
-        F.lower("p.word").alias("pattern"), F.col("p.token").alias("token")).filter("token is not null")
-    found = _placed(found, ["row"], F.col("whole"))
-    return found.select("row", "pattern", "token", F.col("end").alias("start"))
+        F.lower(F.regexp_replace("p.whole", r"\s+", " ")).alias("pattern"),
+        F.regexp_replace(F.concat("p.labelled", "p.other"), r"[.!?:)\]]++$", "").alias("token"))
+    return _placed(found, ["row"], F.col("whole")).filter("token <> ''").select(
+        "row", "pattern", "token", F.col("end").alias("start"))
+
+
+def is_candidate(token: Column) -> Column:
+    return (F.char_length(token) >= MIN_SIZE) & F.regexp_like(token, F.lit("[0-9@]"))
+
 
+def is_secret(token: Column) -> Column:
+    """Whether a token has the shape of a secret, and characters of ``MIN_ENTROPY`` bits or more on average."""
+    letters = F.split(token, "")
+    size = F.size(letters)
 
-def trusted(graph: DataFrame) -> DataFrame:
-    """(pattern, token): found tokens with the patterns that led to them.
+    def bits(letter: Column) -> Column:
+        share = F.size(F.filter(letters, lambda x: x == letter)) / size
+        return -share * F.log2(share)
 
-    ``graph`` holds (pattern, token, seed): the distinct pairs, and 1.0 if the token is a seed.
+    entropy = F.aggregate(F.transform(F.array_distinct(letters), bits), F.lit(0.0), lambda total, x: total + x)
+    return F.regexp_like(token, F.lit(SECRET)) & (entropy >= MIN_ENTROPY)
+
+
+def trusted(graph: DataFrame, failed: DataFrame) -> DataFrame:
+    """(pattern, confidence) of the trusted patterns, after as many rounds as change any.
+
+    ``graph`` holds (pattern, token, candidate, seed): the distinct pairs, and 1.0 if the token is a seed;
+    ``failed`` (pattern, failed): further uses that count as failed.
     """
-    scores = graph
-    for _ in range(ROUNDS):
+    scores, before = graph.withColumn("score", F.col("seed")), None
+    while True:
         patterns = scores.groupBy("pattern").agg(
-            (F.sum("score") / (F.count("*") + 1)).alias("confidence"),
-            F.sum((F.col("score") > 0).cast("int")).alias("support"))
-        patterns = patterns.filter((F.col("support") >= MIN_SUPPORT) & (F.col("confidence") >= MIN_CONFIDENCE))
-        best = graph.join(patterns, "pattern").groupBy("token").agg(F.max("confidence").alias("best"))
-        scores = cut(graph.select("pattern", "token", "seed").join(best, "token", "left").select(
-            "pattern", "token", "seed", F.greatest("seed", F.coalesce("best", F.lit(0.0))).alias("score")))
-    return scores.join(patterns, "pattern").filter("seed = 0 and score > 0").select("pattern", "token")
+            F.sum("score").alias("total"), F.count("*").alias("tokens"),
+            F.sum((F.col("score") > 0).cast("int")).alias("support")).filter(F.col("support") >= MIN_SUPPORT)
+        confidence = F.col("total") / (F.col("tokens") + F.coalesce("failed", F.lit(0)) + 1)
+        patterns = cut(patterns.join(failed, "pattern", "left").select(
+            "pattern", (F.floor(confidence * 100) / 100).alias("confidence")).filter(F.col("confidence") >= MIN_CONFIDENCE))
+        state = patterns.agg(F.count("*"), F.sum(F.round(F.col("confidence") * 100).cast("long"))).first()
+        if state == before or not state[0]:
+            return patterns
+        before = state
+        best = graph.filter("candidate").join(patterns, "pattern").groupBy("token").agg(F.max("confidence").alias("best"))
+        scores = graph.join(best, "token", "left").select("pattern", "token", F.greatest(
+            "seed", F.when(F.col("candidate"), F.coalesce("best", F.lit(0.0))).otherwise(0.0)).alias("score"))
+
+
+def _failed(docs: DataFrame, text_col: str, seen: DataFrame) -> DataFrame:
+    """(pattern, failed): uses of the words among the patterns that no candidate follows."""
+    hits = seen.filter("candidate and not rlike(pattern, '[:=]')").groupBy("pattern").agg(F.count("*").alias("hits"))
+    words = docs.select(F.explode(F.split(F.lower(F.col(text_col).cast("string")), r"\s+")).alias("word"))
+    uses = words.groupBy("word").agg(F.count("*").alias("uses")).withColumn("pattern", F.concat("word", F.lit(" ")))
+    return uses.join(hits.filter(F.col("hits") >= MIN_SUPPORT), "pattern").select(
+        "pattern", F.greatest(F.col("uses") - F.col("hits"), F.lit(0)).alias("failed"))
+
+
+def marked_contexts(seeds: DataFrame, seen: DataFrame) -> DataFrame:
+    """``seen`` with ``hit`` (a match overlaps the token), ``candidate`` and ``seed``.
+
+    Matches and tokens of a row pass by once, in the order of where a match starts and a token ends: a token is
+    overlapped where the largest end of the matches before it lies behind its start.
+    """
+    none = F.lit(None)
+    spans = seeds.select("row", none.cast("string").alias("pattern"), none.cast("string").alias("token"),
+                         F.col("start").alias("at"), F.col("end").alias("reach"), none.cast("int").alias("start"))
+    tokens = seen.select("row", "pattern", "token", (F.col("start") + F.char_length("token")).alias("at"),
+                         none.cast("int").alias("reach"), "start")
+    order = Window.partitionBy("row").orderBy("at", F.col("token").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    out = tokens.unionByName(spans).withColumn("passed", F.max("reach").over(order)).filter("token is not null")
+    hit, candidate = F.coalesce(F.col("passed") > F.col("start"), F.lit(False)), is_candidate(F.col("token"))
+    out = out.select("row", "pattern", "token", "start", hit.alias("hit"), candidate.alias("candidate"))
+    secret = F.when(F.char_length("token") >= 16, is_secret(F.col("token"))).otherwise(False)
+    return out.withColumn("seed", (F.col("candidate") & (F.col("hit") | secret)).cast("double"))
 
 
 def find_private_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -126,17 +186,11 @@ def find_private_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     A null or empty text has no spans. Rows of equal id and text share their row key.
     """
     seeds = cut(base_spans(docs, id_col, text_col))
-    seen = cut(contexts(docs, id_col, text_col))
-    # A token counts as a seed where a match of a pattern starts in it and takes at least half of it.
-    size = F.char_length("token")
-    starts = seeds.select("row", F.col("start").alias("s"), F.col("end").alias("e"))
-    marked = seen.join(starts, "row", "left").groupBy("row", "pattern", "token", "start").agg(
-        F.max(((F.col("s") < F.col("start") + size) & (F.col("e") > F.col("start"))).cast("int")).alias("hit"))
-    marked = cut(marked.withColumn("seed", F.coalesce("hit", F.lit(0)).cast("double")))
-    graph = cut(marked.groupBy("pattern", "token").agg(F.max("seed").alias("seed"))
-                .withColumn("score", F.col("seed")))
-    found = marked.filter("seed = 0").join(trusted(graph), ["pattern", "token"]).select(
-        "row", F.lit(FOUND).alias("kind"), "start", (F.col("start") + size).alias("end"))
+    seen = cut(marked_contexts(seeds, contexts(docs, id_col, text_col)))
+    graph = cut(seen.groupBy("pattern", "token").agg(F.max("candidate").alias("candidate"), F.max("seed").alias("seed")))
+    patterns = trusted(graph, cut(_failed(docs, text_col, seen)))
+    found = seen.filter("candidate and not hit").join(patterns, "pattern").select(
+        "row", F.lit(FOUND).alias("kind"), "start", (F.col("start") + F.char_length("token")).alias("end"))
     return seeds.select("row", "kind", "start", "end").unionByName(found)
 
 

@@ -248,6 +248,33 @@ def test_op3_contexts_find_unseen_identifiers(spark):
     assert masked[9] == "note member: <found> fine" and masked[3] == "note 3 member: <email> fine"
 
 
+def test_op3_labels_of_secrets_and_common_words(spark):
+    def secret(k):
+        return hashlib.sha1(str(k).encode()).hexdigest()
+    rows = [(k, f'the text token = "{secret(k)}" ends the day') for k in range(9)]
+    rows += [(20, "password=hunter2-44 is no seed, token = \"abc123xyz\" is found"), (21, "the 123456 is no secret"),
+             (22, f"commit {secret(99)} has no label"), (23, None), (24, ""), (25, "token = none token = \"1\"")]
+    rows += [(30 + k, f"the u{k}@mail.example.com") for k in range(8)] + [(50, "the way " * 200)]
+    rows += [(60 + k, f"key: {secret(k)[:20]}") for k in range(6)] + [(70, "key: abc123xyz, key: 77-4411-9.")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("row", F.lit(1)).withColumn("token", F.lit("x"))
+    spans = {r.id: r.spans for r in private_data.private_data_report(docs).collect()}
+    assert all(spans[k] == "found:18:58" for k in range(9))
+    start = rows[9][1].index("abc123xyz")
+    assert spans[20] == f"found:{start}:{start + 9}"
+    assert spans[21] == spans[22] == spans[23] == spans[24] == spans[25] == spans[50] == ""
+    assert spans[30] == "email:4:23" and spans[60] == "found:5:25" and spans[70] == "found:5:14,found:21:30"
+
+
+def test_op3_marks_overlaps_like_brute_force(spark):
+    rng = np.random.default_rng(4)
+    seeds = [(int(r), int(s), int(s + n)) for r, s, n in rng.integers(1, 60, (300, 3))]
+    seen = [(int(r), "p ", "x" * int(n), int(s)) for r, s, n in rng.integers(1, 60, (300, 3))]
+    out = private_data.marked_contexts(spark.createDataFrame(seeds, "row long, start int, end int"),
+                                       spark.createDataFrame(seen, "row long, pattern string, token string, start int"))
+    expected = [(r, t, s, any(q == r and a < s + len(t) and e > s for q, a, e in seeds)) for r, _, t, s in seen]
+    assert sorted(map(tuple, out.select("row", "token", "start", "hit").collect())) == sorted(expected)
+
+
 def brute_hits(rows, items):
     def words(t):
         return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(FOLD))
