@@ -27,7 +27,6 @@ import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from hashlib import blake2b
 from itertools import repeat
 
 import numpy as np
@@ -35,6 +34,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 from salesloom.llm.storage import cut, prepare, removed, stored
 
@@ -59,7 +59,7 @@ def tokens(text: str | None) -> list[bytes]:
 
 def word_id(word: bytes) -> int:
     """Below zero; the last bits are the class to start with, less one."""
-    mixed = int.from_bytes(blake2b(word, digest_size=8).digest(), "little") >> 1
+    mixed = xxh3_64_intdigest(word) >> 1
     return (mixed - mixed % CLASSES + zlib.crc32(word[-3:]) % CLASSES) - (1 << 63)
 
 
@@ -74,7 +74,7 @@ def _turn(ids: np.ndarray) -> np.ndarray:
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def out() -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(
-            [pa.array([w.decode() for w in counts], pa.string()), pa.array(list(counts.values()), pa.int64())],
+            [pa.array(list(counts), pa.binary()).cast(pa.string()), pa.array(list(counts.values()), pa.int64())],
             names=["word", "n"])
 
     counts: Counter[bytes] = Counter()
@@ -342,10 +342,12 @@ def _gathered(shared):
 
 
 def _matrix_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(_WIDTH * _WIDTH, dtype=np.int64)
+    """Sums of the matrix, and of the uses that moved in the cell behind it."""
+    total = np.zeros(_WIDTH * _WIDTH + 1, dtype=np.int64)
     for batch in batches:
         for value in batch.column(0):
-            total += np.frombuffer(value.as_py(), dtype=np.int64)
+            total[:-1] += np.frombuffer(value.as_py(), dtype=np.int64)
+        total[-1] += pc.sum(batch.column(1)).as_py() or 0
     at = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["cell", "n"])
 
@@ -402,15 +404,14 @@ class BrownModel:
         uses = train.filter("octet_length(tails) > 0").mapInArrow(_uses(len(self.head), self.blocks), _BLOCK_SQL)
         table = stored(uses.groupBy("block").applyInArrow(_started, _BLOCK_SQL), "classes")
         table = self._round(train, table, self.classes, None, 0)
-        matrix = self._matrix(table)
+        matrix, _ = self._matrix(table)
         self.moves: list[float] = []
         for turn in range(ROUNDS):
             gain, old = gains(matrix), self.classes
             moved = self._choose_head(table, gain, turn)
             table = self._round(train, table, old, gain, turn)
-            matrix = self._matrix(table)
-            moved += table.agg(F.sum("moved")).first()[0] or 0
-            self.moves.append(moved / max(1, self.tokens))
+            matrix, tail = self._matrix(table)
+            self.moves.append((moved + tail) / max(1, self.tokens))
             if turn and sum(self.moves[-2:]) < SETTLED:
                 break
         self.table = table
@@ -461,13 +462,13 @@ class BrownModel:
         context._jvm.System.gc()  # Spark removes shuffle files of past rounds when memory is collected
         return out
 
-    def _matrix(self, table: DataFrame) -> np.ndarray:
-        """[left class, class] counts."""
-        cells = table.select("matrix").mapInArrow(_matrix_cells, "cell long, n long")
-        out = np.zeros(_WIDTH * _WIDTH)
+    def _matrix(self, table: DataFrame) -> tuple[np.ndarray, int]:
+        """[left class, class] counts, and the uses of tail words that moved."""
+        cells = table.select("matrix", "moved").mapInArrow(_matrix_cells, "cell long, n long")
+        out = np.zeros(_WIDTH * _WIDTH + 1)
         for cell, n in cells.groupBy("cell").agg(F.sum("n")).collect():
             out[cell] = n
-        return out.reshape(_WIDTH, _WIDTH)
+        return out[:-1].reshape(_WIDTH, _WIDTH), int(out[-1])
 
     def _choose_head(self, table: DataFrame, gain: np.ndarray, turn: int) -> int:
         """Classes of the head's words of the turn; returns the uses that moved."""
