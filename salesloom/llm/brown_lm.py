@@ -11,9 +11,11 @@ and all their words.
   starts in). Words are dealt to blocks: head words by rank, tail words by hash, as many blocks as keep about
   ``BLOCK_USES`` uses in each. A row of the table is a block: words, classes and neighbours packed as numbers,
   so a round handles arrays and no row per word. A word's uses lie in its block, however many they are.
-* A round counts the classes before and after each word: pairs of head words from the encoded texts, all
+* Texts are read once for the rounds: pairs of head words are counted, and each pair is an entry of the block of
+  either word, whatever its uses. Blocks of frequent words are cut into parts of about ``PART_USES`` uses, by neighbour.
+* A round counts the classes before and after each word: pairs of head words from these entries, all
   others from the tail's blocks, where a tail word tells its tail neighbours its class by a message. Head
-  counts go out as sums per task and block. Each word then takes the class that explains its neighbours best,
+  counts go out as sums per part, or per task and block. Each word then takes the class that explains its neighbours best,
   given all others; of the rest only the matrix of classes and the classes of the head are sent (half of the
   words a round, so that pairs don't change places for ever). Rounds end when both halves together move less
   than ``SETTLED`` of the tokens, or after ``ROUNDS``. The table of a round replaces that of the round before.
@@ -25,9 +27,9 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import groupby, islice
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +39,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
 from salesloom.llm.storage import cut, prepare, removed, stored
+from salesloom.llm.text import folded_words
 
 HEAD, HEAD_BYTES, BANDS = 262_144, 64, 8
 CLASSES, ROUNDS, SETTLED = 32, 12, 0.02
@@ -47,14 +50,14 @@ _END_CLASS, _WIDTH = 0, CLASSES + 1
 _LEFT, _RIGHT, _CELLS = 0, _WIDTH, 2 * _WIDTH
 #: Words of a head block, whose cells have numbers of 16 bits, and uses of a tail block.
 _HEAD_BLOCK, BLOCK_USES = 512, 65_536
-_FLUSH = 400_000
-_ROWS, _TASKS = 1_000, 64
-#: Of the type of the counts it is added to: numpy adds a number of another type twenty times slower.
-_ONE = np.int32(1)
-
-
-def tokens(text: str | None) -> list[bytes]:
-    return (text or "").encode().lower().split()
+#: Uses of a part of a head block. An entry in it is word, side and neighbour in 32 bits, the last in ``_NEAR`` of them,
+#: which hold the rank of the end too.
+PART_USES, _NEAR = 4_000_000, np.uint32(19)
+_NEAR_MASK = np.uint32((1 << 19) - 1)
+_FLUSH, _PAIRS = 400_000, 4_000_000
+_ROWS, _TASKS, _TEXT_BYTES = 1_000, 128, 8 << 20
+#: Head and tail blocks of a partition of a round.
+_HEADS_EACH, _TAILS_EACH = 64, 16
 
 
 def word_id(word: bytes) -> int:
@@ -72,21 +75,25 @@ def _turn(ids: np.ndarray) -> np.ndarray:
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def out() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [pa.array(list(counts), pa.binary()).cast(pa.string()), pa.array(list(counts.values()), pa.int64())],
-            names=["word", "n"])
+    def out() -> Iterator[pa.RecordBatch]:
+        counts = pa.table({"word": pa.chunked_array(words, pa.binary()), "n": pa.chunked_array(numbers, pa.int64())})
+        counts = counts.group_by("word", use_threads=False).aggregate([("n", "sum")])
+        yield from pa.table({"word": counts["word"].cast(pa.string()), "n": counts["n_sum"]}).to_batches()
 
-    counts: Counter[bytes] = Counter()
+    words, numbers, size = [], [], 0
     for batch in batches:
-        for value in batch.column(0):
-            counts.update(tokens(value.as_py()))
-            counts[b""] += 1
-            if len(counts) > _FLUSH:
-                yield out()
-                counts.clear()
-    if counts:
-        yield out()
+        words.append(pa.array([END.encode()], pa.binary()))
+        numbers.append(pa.array([batch.num_rows], pa.int64()))
+        for _, _, found in folded_words(batch.column(0), _TEXT_BYTES):
+            found, n = found.value_counts().flatten()
+            words.append(found)
+            numbers.append(n)
+            size += len(n)
+            if size > 4 * _FLUSH:
+                yield from out()
+                words, numbers, size = [], [], 0
+    if words:
+        yield from out()
 
 
 def word_counts(texts: DataFrame, text_col: str) -> DataFrame:
@@ -95,27 +102,37 @@ def word_counts(texts: DataFrame, text_col: str) -> DataFrame:
     return rows.groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def _listed(words: pa.Array) -> list[bytes]:
+    """Words without space as Python's bytes, quicker than one by one."""
+    whole = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words)
+    return pc.binary_join(whole, b" ")[0].as_py().split()
+
+
+def _packed(numbers: np.ndarray, first: np.ndarray) -> pa.Array:
+    """The numbers of each row as bytes; ``first`` are the places of its first ones, and one more at the end."""
+    places = (first * numbers.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(first) - 1, [None, pa.py_buffer(places), pa.py_buffer(numbers)])
+
+
 def _encoded(shared):
     """(.., ranks, tails): 32-bit ranks of a text's tokens, -1 outside the head; 64-bit ids of those outside."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head = {w: i for i, w in enumerate(shared.value.encode().split(b"\n"))} if shared.value else {}
-        ids: dict[bytes, int] = {}
+        head = pa.array(shared.value.split("\n") if shared.value else [], pa.string()).cast(pa.binary())
         for batch in batches:
-            ranks, tails = [], []
-            for value in batch.column(2):
-                words = tokens(value.as_py())
-                own = np.fromiter(map(head.get, words, repeat(-1)), dtype=np.int32, count=len(words))
-                outside = [words[k] for k in np.flatnonzero(own < 0).tolist()]
-                if len(ids) > _FLUSH:
-                    ids.clear()
-                for w in outside:
-                    if w not in ids:
-                        ids[w] = word_id(w)
-                ranks.append(own.tobytes())
-                tails.append(np.array([ids[w] for w in outside], dtype=np.int64).tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(ranks, pa.binary()), pa.array(tails, pa.binary())],
-                names=["id", "held_out", "ranks", "tails"])
+            for row, first, words in folded_words(batch.column(2), _TEXT_BYTES):
+                words = words.dictionary_encode()
+                own, names = words.indices.to_numpy(), words.dictionary
+                known = pc.index_in(names, value_set=head).fill_null(-1).to_numpy()
+                outside = np.flatnonzero(known < 0)
+                ids = np.zeros(len(names), dtype=np.int64)
+                ids[outside] = list(map(word_id, _listed(names.take(pa.array(outside)))))
+                ranks = known[own]
+                at = np.flatnonzero(ranks < 0)
+                rows = len(first) - 1
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(row, rows), batch.column(1).slice(row, rows),
+                     _packed(ranks, first), _packed(ids[own[at]], np.searchsorted(at, first))],
+                    names=["id", "held_out", "ranks", "tails"])
 
     return run
 
@@ -138,12 +155,13 @@ def _sequence(ranks: pa.Array, tails: pa.Array, end: int) -> tuple[np.ndarray, n
     return np.insert(out, stops, end), stops + np.arange(1, len(stops) + 1)
 
 
-#: A block of the head (below zero) has ``cells`` and ``counts``; one of the tail its ``words`` in order with their
-#: ``classes``, ``uses`` and neighbours ``near``, and messages: the cell ``cells`` for the word with the number ``to``.
-#: On the way a message names its word in ``words``. ``moved`` counts uses whose word changed its class.
-_BLOCK = pa.schema([("block", pa.int64()), ("moved", pa.int64()), *[(name, pa.binary()) for name in (
-    "words", "classes", "uses", "near", "to", "cells", "counts", "matrix")]])
-_BLOCK_SQL = "block long, moved long, " + ", ".join(f"{name} binary" for name in _BLOCK.names[2:])
+#: A block of the head (below zero) has ``cells`` and ``counts``, or in a part ``pairs`` and ``counts``; one of the tail
+#: its ``words`` in order with their ``classes``, ``uses`` and neighbours ``near`` (ranks; -1 for the next id in ``far``),
+#: and messages: the cell ``told`` for the word with the number ``to``. On the way a message names its word in ``words``.
+#: ``moved`` counts uses whose word changed its class.
+_BLOCK = pa.schema([("block", pa.int64()), ("part", pa.int64()), ("moved", pa.int64()), *[(name, pa.binary()) for name in (
+    "words", "classes", "uses", "near", "far", "to", "told", "pairs", "cells", "counts", "matrix")]])
+_BLOCK_SQL = "block long, part long, moved long, " + ", ".join(f"{name} binary" for name in _BLOCK.names[3:])
 
 
 def _block_rows(rows: list[dict]) -> pa.RecordBatch:
@@ -167,78 +185,132 @@ def _dealt(words: np.ndarray, blocks: int) -> np.ndarray:
     return (words >> 8) % blocks
 
 
-def _head_rows(counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Cells of the head, one byte a count where that will do."""
-    at = np.flatnonzero(counts)
-    found = counts[at]
-    for here, kind in ((found < 256, np.uint8), (found >= 256, np.int64)):
-        cells, n = at[here], found[here].astype(kind)
+def _by_size(numbers: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places and counts, of one byte where that will do."""
+    for here, kind in ((numbers < 256, np.uint8), (numbers >= 256, np.int64)):
+        yield np.flatnonzero(here), numbers[here].astype(kind)
+
+
+def _sized(row: dict, name: str, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of a row and their counts, in the size they have."""
+    numbers = _numbered(row, name, kind)
+    return numbers, _numbered(row, "counts", np.uint8 if len(row["counts"]) == len(numbers) else np.int64)
+
+
+def _head_rows(at: np.ndarray, found: np.ndarray) -> Iterator[dict]:
+    """Counts of the sorted cells ``at`` of the head, by block."""
+    for here, n in _by_size(found):
+        cells = at[here]
         block = cells // (_HEAD_BLOCK * _CELLS)
         cells = (cells % (_HEAD_BLOCK * _CELLS)).astype(np.uint16)
-        rows = [{"block": -1 - b, "cells": cells[k], "counts": n[k]} for b, k in _runs(block)]
-        for k in range(0, len(rows), 64):
-            yield _block_rows(rows[k:k + 64])
+        yield from ({"block": -1 - b, "cells": cells[k], "counts": n[k]} for b, k in _runs(block))
+
+
+def _batched(rows: Iterator[dict]) -> Iterator[pa.RecordBatch]:
+    while some := list(islice(rows, 64)):
+        yield _block_rows(some)
 
 
 def _head_contexts(shared):
-    """Cells of head words (and the end, the rank behind them) next to head words."""
+    """Cells of head words (and the end, the rank behind them) next to head words, from the parts of their pairs."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes = shared.value
-        counts = np.zeros(len(classes) * _CELLS, dtype=np.int32)
-        for batch in _slices(batches):
-            right, _ = _sequence(batch.column(0), batch.column(1), len(classes) - 1)
-            left = np.concatenate(([len(classes) - 1], right[:-1]))
-            both = (left >= 0) & (right >= 0)
-            left, right = left[both], right[both]
-            np.add.at(counts, right * _CELLS + _LEFT + classes[left], _ONE)
-            np.add.at(counts, left * _CELLS + _RIGHT + classes[right], _ONE)
-        yield from _head_rows(counts)
+        classes = shared.value.astype(np.uint32)
+
+        def cells() -> Iterator[dict]:
+            parts = (batch.slice(k, 1).to_pylist()[0] for batch in batches for k in range(batch.num_rows))
+            for block, rows in groupby(parts, itemgetter("block")):
+                counts = np.zeros(_HEAD_BLOCK * _CELLS)
+                for pairs, n in (_sized(row, "pairs", np.uint32) for row in rows):
+                    at = (pairs >> _NEAR) * np.uint32(_WIDTH) + classes[pairs & _NEAR_MASK]
+                    counts += np.bincount(at, n, minlength=len(counts))
+                at = np.flatnonzero(counts)
+                yield from _head_rows((-1 - block) * len(counts) + at, counts[at].astype(np.int64))
+
+        yield from _batched(cells())
 
     return run
 
 
-def _uses(end: int, blocks: int):
-    """Tail words with the ranks or ids on their left and right, one entry per use."""
-    def out(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+def _uses(end: int, blocks: int, parts: np.ndarray):
+    """Pairs of head words as counted entries of the blocks of both, and tail words with the ranks or ids on their left
+    and right, one entry per use."""
+    def tail(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
         words, near = (np.concatenate(x) for x in zip(*found))
         block = _dealt(words, blocks)
         order = np.argsort(block, kind="stable")
         words, near = words[order], near[order]
-        return _block_rows([{"block": b, "words": words[k], "near": near[k]} for b, k in _runs(block[order])])
+        return _block_rows([{"block": b, "part": 0, "words": words[k], "near": near[k]} for b, k in _runs(block[order])])
+
+    def head(found: list[np.ndarray]) -> Iterator[dict]:
+        pairs, n = np.unique(np.concatenate(found), return_counts=True)
+        block = pairs // (2 * _HEAD_BLOCK << int(_NEAR))
+        pairs = (pairs % (2 * _HEAD_BLOCK << int(_NEAR))).astype(np.uint32)
+        for b, k in _runs(block):
+            part = (pairs[k] & _NEAR_MASK) % parts[b]
+            order = np.argsort(part, kind="stable")
+            own, numbers = pairs[k][order], n[k][order]
+            for p, j in _runs(part[order]):
+                yield from _pair_rows(-1 - b, p, own[j], numbers[j])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, size = [], 0
+        found, size, pairs, n_pairs = [], 0, [], 0
         for batch in _slices(batches):
-            words, _ = _sequence(batch.column(0), batch.column(1), end)
-            at = np.flatnonzero(words < 0)
-            found.append((words[at], np.stack((np.concatenate(([end], words))[at], words[at + 1]), axis=1)))
+            right, _ = _sequence(batch.column(0), batch.column(1), end)
+            left = np.concatenate(([end], right[:-1]))
+            at = np.flatnonzero(right < 0)
+            found.append((right[at], np.stack((left[at], right[at + 1]), axis=1)))
             size += len(at)
+            both = (left >= 0) & (right >= 0)
+            left, right = left[both], right[both]
+            pairs += [2 * right << int(_NEAR) | left, 2 * left + 1 << int(_NEAR) | right]
+            n_pairs += 2 * len(left)
             if size > _FLUSH:
-                yield out(found)
+                yield tail(found)
                 found, size = [], 0
+            if n_pairs > _PAIRS:
+                yield from _batched(head(pairs))
+                pairs, n_pairs = [], 0
         if size:
-            yield out(found)
+            yield tail(found)
+        if n_pairs:
+            yield from _batched(head(pairs))
 
     return run
 
 
-def _started(_key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    """A tail block from all its uses, with the classes to start with."""
+def _pair_rows(block: int, part: int, pairs: np.ndarray, counts: np.ndarray) -> list[dict]:
+    return [{"block": block, "part": part, "pairs": pairs[at], "counts": n} for at, n in _by_size(counts) if len(at)]
+
+
+def _merged(block: int, part: int, rows: list[dict]) -> list[dict]:
+    """The entries of a part of a head block, each once: sorted with their counts in the lower bits."""
+    both = np.sort(np.concatenate([pairs.astype(np.int64) << 34 | n for pairs, n in (
+        _sized(row, "pairs", np.uint32) for row in rows)]))
+    pairs = both >> 34
+    first = np.flatnonzero(np.r_[True, pairs[1:] != pairs[:-1]])
+    return _pair_rows(block, part, pairs[first].astype(np.uint32), np.add.reduceat(both & (1 << 34) - 1, first))
+
+
+def _started(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    """A tail block from all its uses, with the classes to start with; a part of a head block from all its pairs."""
+    block, part = (x.as_py() for x in key)
+    if block < 0:
+        return pa.Table.from_batches([_block_rows(_merged(block, part, table.select(["pairs", "counts"]).to_pylist()))])
     words = _numbers(table.column("words"), np.int64)
     near = _numbers(table.column("near"), np.int64).reshape(-1, 2)
-    order = np.argsort(words, kind="stable")
+    near = near[np.argsort(words, kind="stable")]
     names, uses = np.unique(words, return_counts=True)
     return pa.Table.from_batches([_block_rows([{
-        "block": table.column("block")[0].as_py(), "moved": 0, "words": names, "classes": _start(names).astype(np.uint8),
-        "uses": uses.astype(np.int32), "near": near[order]}])])
+        "block": block, "moved": 0, "words": names, "classes": _start(names).astype(np.uint8),
+        "uses": uses.astype(np.int32), "near": np.maximum(near, -1).astype(np.int32), "far": near[near < 0]}])])
 
 
 def _tail_cells(row: dict, head: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Number of the word, and cell, of all that is next to the words of a tail block."""
     uses = _numbered(row, "uses", np.int32)
-    near = _numbered(row, "near", np.int64).reshape(-1, 2)
+    near = _numbered(row, "near", np.int32).reshape(-1, 2)
     word = np.repeat(np.arange(len(uses)), uses)
-    words, cells = [_numbered(row, "to", np.int32)], [_numbered(row, "cells", np.uint8)]
+    words, cells = [_numbered(row, "to", np.int32)], [_numbered(row, "told", np.uint8)]
     for side, first in ((near[:, 0], _LEFT), (near[:, 1], _RIGHT)):
         known = side >= 0
         words.append(word[known])
@@ -261,12 +333,11 @@ def _tail_sent(shared):
         block = _dealt(words, blocks)
         order = np.argsort(block, kind="stable")
         words, cells = words[order], cells[order].astype(np.uint8)
-        return _block_rows([{"block": b, "words": words[k], "cells": cells[k]} for b, k in _runs(block[order])])
+        return _block_rows([{"block": b, "words": words[k], "told": cells[k]} for b, k in _runs(block[order])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        old, head, gain, turn, blocks = shared.value
-        counts = np.zeros(len(head) * _CELLS, dtype=np.int32)
-        found, size = [], 0
+        old, gain, turn, blocks = shared.value
+        found, size, counts, n_counts = [], 0, [], 0
         for batch in batches:
             for k in range(batch.num_rows):
                 row = batch.slice(k, 1).to_pylist()[0]
@@ -277,19 +348,24 @@ def _tail_sent(shared):
                     new = np.where(_turn(words) == turn % 2, best, own)
                     moved, own = int(uses[new != own].sum()), new
                 yield _block_rows([{"block": row["block"], "moved": moved, "words": words, "uses": uses,
-                                    "classes": own.astype(np.uint8), "near": row["near"]}])
-                near, each = _numbered(row, "near", np.int64).reshape(-1, 2), np.repeat(own, uses)
-                for side, theirs in ((near[:, 0], _RIGHT), (near[:, 1], _LEFT)):
-                    known = side >= 0
-                    np.add.at(counts, side[known] * _CELLS + theirs + each[known], _ONE)
-                    found.append((side[~known], theirs + each[~known]))
-                    size += len(found[-1][0])
+                                    "classes": own.astype(np.uint8), "near": row["near"], "far": row["far"]}])
+                near = _numbered(row, "near", np.int32)
+                theirs = (np.repeat(own, uses)[:, None] + (_RIGHT, _LEFT)).ravel()
+                known = near >= 0
+                counts.append(near[known].astype(np.int64) * _CELLS + theirs[known])
+                n_counts += len(counts[-1])
+                found.append((_numbered(row, "far", np.int64), theirs[~known]))
+                size += len(found[-1][0])
                 if size > _FLUSH:
                     yield messages(found, blocks)
                     found, size = [], 0
+                if n_counts > _PAIRS:
+                    yield from _batched(_head_rows(*np.unique(np.concatenate(counts), return_counts=True)))
+                    counts, n_counts = [], 0
         if size:
             yield messages(found, blocks)
-        yield from _head_rows(counts)
+        if n_counts:
+            yield from _batched(_head_rows(*np.unique(np.concatenate(counts), return_counts=True)))
 
     return run
 
@@ -297,9 +373,9 @@ def _tail_sent(shared):
 def _head_block(table: pa.Table) -> np.ndarray:
     """[word, cell] counts of a head block."""
     counts = np.zeros(_HEAD_BLOCK * _CELLS, dtype=np.int64)
-    for cells, numbers in zip(table.column("cells").to_pylist(), table.column("counts").to_pylist()):
-        at = np.frombuffer(cells, dtype=np.uint16)
-        counts[at] += np.frombuffer(numbers, dtype=np.uint8 if len(numbers) == len(at) else np.int64)
+    for row in table.select(["cells", "counts"]).to_pylist():
+        at, n = _sized(row, "cells", np.uint16)
+        counts[at] += n
     return counts.reshape(_HEAD_BLOCK, _CELLS)
 
 
@@ -307,8 +383,9 @@ def _head_summed(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     """The sum of a part of the rows of a head block; rows of the tail as they are."""
     if key[0].as_py() >= 0:
         return table.select(_BLOCK.names)
-    rows = [{**row, "block": key[0].as_py()} for batch in _head_rows(_head_block(table).ravel())
-            for row in batch.to_pylist()]
+    counts = _head_block(table).ravel()
+    at = np.flatnonzero(counts)
+    rows = [{**row, "block": key[0].as_py()} for row in _head_rows(at, counts[at])]
     return pa.Table.from_batches([_block_rows(rows)])
 
 
@@ -331,8 +408,8 @@ def _gathered(shared):
             sent = [r for r in rows if r["uses"] is None]
             words = np.frombuffer(b"".join(r["words"] for r in sent), dtype=np.int64)
             row["to"] = np.searchsorted(_numbered(row, "words", np.int64), words).astype(np.int32)
-            row["cells"] = np.frombuffer(b"".join(r["cells"] for r in sent), dtype=np.uint8)
-            at, cells = _tail_cells({k: v.tobytes() if k in ("to", "cells") else v for k, v in row.items()}, classes)
+            row["told"] = np.frombuffer(b"".join(r["told"] for r in sent), dtype=np.uint8)
+            at, cells = _tail_cells({k: v.tobytes() if k in ("to", "told") else v for k, v in row.items()}, classes)
             left = cells < _WIDTH
             pairs = cells[left].astype(np.int64) * _WIDTH + _numbered(row, "classes", np.uint8)[at[left]]
             matrix = np.bincount(pairs, minlength=_WIDTH * _WIDTH)
@@ -390,30 +467,34 @@ class BrownModel:
     def __init__(self, rows: DataFrame) -> None:
         spark = rows.sparkSession
         prepare(spark)
-        vocabulary = cut(word_counts(rows.filter("not held_out"), "text"))
-        total, self.distinct = vocabulary.agg(F.sum("n"), F.count("*")).first()
-        self.tokens = total or 0
+        vocabulary = stored(word_counts(rows.filter("not held_out"), "text"), "vocabulary")
         self.head, self.counts = self._head(vocabulary)
+        removed(vocabulary)
         self.ids = np.array([word_id(w.encode()) for w in self.head] + [0], dtype=np.int64)
         self.classes = np.append(_start(self.ids[:-1]), _END_CLASS)
         self.encoded = self._encode(rows)
         self._train(self.encoded.filter("not held_out").select("ranks", "tails"))
 
     def _train(self, train: DataFrame) -> None:
-        self.blocks = 1 + (self.tokens - int(self.counts.sum())) // BLOCK_USES
-        uses = train.filter("octet_length(tails) > 0").mapInArrow(_uses(len(self.head), self.blocks), _BLOCK_SQL)
-        table = stored(uses.groupBy("block").applyInArrow(_started, _BLOCK_SQL), "classes")
-        table = self._round(train, table, self.classes, None, 0)
+        self.blocks = 1 + (self.tokens - self.texts - int(self.counts.sum())) // BLOCK_USES
+        uses = np.append(self.counts, self.texts)
+        self.parts = 1 + 2 * np.add.reduceat(uses, np.arange(0, len(uses), _HEAD_BLOCK)) // PART_USES
+        found = train.mapInArrow(_uses(len(self.head), self.blocks, self.parts), _BLOCK_SQL)
+        found = found.repartition(1 + self.tokens // (PART_USES // 2), "block", "part")
+        self.started = stored(found.groupBy("block", "part").applyInArrow(_started, _BLOCK_SQL), "started")
+        table = self._round(self.started, self.classes, None, 0)
         matrix, _ = self._matrix(table)
         self.moves: list[float] = []
         for turn in range(ROUNDS):
             gain, old = gains(matrix), self.classes
             moved = self._choose_head(table, gain, turn)
-            table = self._round(train, table, old, gain, turn)
+            last, table = table, self._round(table, old, gain, turn)
+            removed(last)
             matrix, tail = self._matrix(table)
             self.moves.append((moved + tail) / max(1, self.tokens))
             if turn and sum(self.moves[-2:]) < SETTLED:
                 break
+        removed(self.started)
         self.table = table
         self.tail = table.filter("block >= 0").select("words", "uses", "classes").mapInArrow(
             _tail_words, "word long, n long, class long")
@@ -421,9 +502,13 @@ class BrownModel:
 
     def _head(self, vocabulary: DataFrame) -> tuple[list[str], np.ndarray]:
         """Words with counts, the most frequent first: as many bands of counts as fit."""
-        words = vocabulary.filter(F.col("word") != END)
-        band = F.floor(F.log2("n") * BANDS)
-        bands = words.groupBy(band.alias("band")).agg(F.count("*"), F.sum(F.octet_length("word"))).collect()
+        word, band = F.col("word"), F.floor(F.log2("n") * BANDS)
+        found = vocabulary.groupBy((word == END).alias("end"), band.alias("band")).agg(
+            F.count("*"), F.sum(F.octet_length("word")), F.sum("n")).collect()
+        #: All tokens, distinct ones and training texts.
+        self.tokens, self.distinct = sum(row[4] for row in found), sum(row[2] for row in found)
+        self.texts = sum(row[4] for row in found if row[0])
+        bands = [tuple(row)[1:4] for row in found if not row[0]]
         least, held, size = None, 0, 0
         for value, number, octets in sorted(bands, reverse=True):
             held, size = held + number, size + octets
@@ -432,7 +517,7 @@ class BrownModel:
             least = value
         if least is None:
             return [], np.empty(0, dtype=np.int64)
-        table = words.filter(band >= least).toArrow()
+        table = vocabulary.filter((word != END) & (band >= least)).toArrow()
         names, counts = table.column("word").to_pylist(), table.column("n").to_numpy()
         order = sorted(range(len(names)), key=lambda i: (-counts[i], names[i]))
         return [names[i] for i in order], counts[order]
@@ -444,21 +529,24 @@ class BrownModel:
         shared.destroy()
         return out
 
-    def _round(self, train: DataFrame, table: DataFrame, old: np.ndarray, gain: np.ndarray | None, turn: int) -> DataFrame:
-        """The blocks after the tail's choice, with contexts for the classes as they are now; ``table`` is removed."""
-        context = train.sparkSession.sparkContext
+    def _round(self, table: DataFrame, old: np.ndarray, gain: np.ndarray | None, turn: int) -> DataFrame:
+        """The blocks after the tail's choice, with contexts for the classes as they are now."""
+        context = table.sparkSession.sparkContext
         shared = context.broadcast(self.classes)
-        sent = context.broadcast((old, self.classes, gain, turn, self.blocks))
-        tail = table.filter("block >= 0").mapInArrow(_tail_sent(sent), _BLOCK_SQL)
-        found = train.mapInArrow(_head_contexts(shared), _BLOCK_SQL).union(tail)
-        tasks = found.rdd.getNumPartitions()
-        if tasks > _TASKS:  # head rows of very many tasks are summed in parts first
-            part = F.when(F.col("block") < 0, F.spark_partition_id() % math.isqrt(tasks)).otherwise(F.lit(0))
+        sent = context.broadcast((old, gain, turn, self.blocks))
+        tail = table.filter("block >= 0").select(
+            "block", "words", "classes", "uses", "near", "far", "to", "told").mapInArrow(_tail_sent(sent), _BLOCK_SQL)
+        pairs = self.started.filter("block < 0").select("block", "pairs", "counts")
+        found = pairs.mapInArrow(_head_contexts(shared), _BLOCK_SQL).union(tail)
+        tasks = int(self.parts.max()) + tail.rdd.getNumPartitions()
+        if tasks > _TASKS:  # where very many have rows of a head block, they are summed in parts first
+            part = F.when(F.col("block") < 0, F.spark_partition_id() % math.isqrt(tasks)).otherwise(F.lit(0)).cast("long")
             found = found.withColumn("part", part).groupBy("block", "part").applyInArrow(_head_summed, _BLOCK_SQL)
+        # A round writes so little that a file for each task and partition would be most of its work: as many as blocks need.
+        found = found.repartition(1 + len(self.parts) // _HEADS_EACH + self.blocks // _TAILS_EACH, "block")
         out = stored(found.groupBy("block").applyInArrow(_gathered(shared), _BLOCK_SQL), "classes")
         shared.destroy()
         sent.destroy()
-        removed(table)
         context._jvm.System.gc()  # Spark removes shuffle files of past rounds when memory is collected
         return out
 

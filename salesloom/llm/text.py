@@ -78,6 +78,16 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def folded_words(texts: pa.Array, block_bytes: int) -> Iterator[tuple[int, np.ndarray, pa.Array]]:
+    """(first row, index of each row's first word and one more at the end, words) of consecutive rows; A-Z lower-cased."""
+    for row, data, offsets in text_blocks(texts, block_bytes):
+        starts, ends, first = word_bounds(data, offsets)
+        letters = data.tobytes().translate(_FOLD.tobytes(), b"\t\n\v\f\r ")
+        places = np.concatenate(([0], np.cumsum(ends - starts))).astype(np.int32)
+        yield row, first, pa.Array.from_buffers(
+            pa.binary(), len(starts), [None, pa.py_buffer(places), pa.py_buffer(letters)])
+
+
 def hashed_words(texts: pa.Array, fold: bool = False) -> Iterator[np.ndarray]:
     """For every text in order, the hashes of its words; ``fold`` lower-cases A-Z first."""
     for _, data, offsets in text_blocks(texts):

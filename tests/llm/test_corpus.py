@@ -471,6 +471,19 @@ def test_op10_classes_of_all_words(spark, monkeypatch):
         assert scores() == whole
 
 
+def test_op10_rounds_read_each_pair_once(spark, monkeypatch):
+    """A round reads one entry for each distinct pair and side, not every use of it again."""
+    from salesloom.llm import brown_lm
+    monkeypatch.setattr(brown_lm, "removed", lambda frame: None)
+    monkeypatch.setattr(brown_lm, "ROUNDS", 1)
+    texts = ["a b a b c", "a b", ""] * 100
+    model = brown_lm.BrownModel(spark.createDataFrame(
+        [(i, False, t) for i, t in enumerate(texts)], "id long, held_out boolean, text string"))
+    pairs = collections.Counter(x for t in texts for x in zip([""] + t.split(), t.split() + [""]))
+    got = model.started.filter("block < 0").agg(F.sum(F.octet_length("pairs")) / 4).first()[0]
+    assert set(model.head) == {"a", "b", "c"} and got == 2 * len(pairs)
+
+
 def test_pipeline_next_to_brute_force(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     kept = {r.id for r in quality_rules.quality_verdicts(docs).filter("kept").collect()}
