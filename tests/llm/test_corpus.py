@@ -484,6 +484,21 @@ def test_op10_rounds_read_each_pair_once(spark, monkeypatch):
     assert set(model.head) == {"a", "b", "c"} and got == 2 * len(pairs)
 
 
+def test_op10_parts_and_sums_change_nothing(spark, monkeypatch):
+    """Head blocks cut into parts, and summed in two steps, give the same classes."""
+    from salesloom.llm import brown_lm
+    monkeypatch.setattr(brown_lm, "ROUNDS", 2)
+    docs = spark.createDataFrame([(i, False, f"a b w{i % 7} a v{i % 3} b") for i in range(300)],
+                                 "id long, held_out boolean, text string")
+    whole = brown_lm.BrownModel(docs)
+    monkeypatch.setattr(brown_lm, "PART_USES", 1_000)
+    monkeypatch.setattr(brown_lm, "_TASKS", 0)
+    parts = brown_lm.BrownModel(docs)
+    assert whole.parts.max() == 1 < parts.parts.max()
+    assert parts.head == whole.head and parts.moves == whole.moves and (parts.classes == whole.classes).all()
+    assert (parts.transition == whole.transition).all()
+
+
 def test_pipeline_next_to_brute_force(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     kept = {r.id for r in quality_rules.quality_verdicts(docs).filter("kept").collect()}
