@@ -7,7 +7,11 @@ Two texts link when the Jaccard similarity of their sets of n-grams reaches ``th
 2. The top of the tree: a node for every n-gram that stands in the sketches of several classes.
    Of a class's sketch, its rarest n-grams are enough (prefix filter): classes that can link
    share one of those, so a pair of nodes without a common class need not be looked at.
-   Classes joined through common nodes, directly or by others, make a bucket.
+   Pairs of a node whose sketches have too little in common for a link are left out, else texts
+   that share an n-gram by chance would tie ever more of a growing corpus together. Classes
+   joined by the pairs that remain, directly or by others, make a bucket. Of a node of more
+   than ``PAIRED`` classes, the pairs with one of them come first, then those of different
+   buckets, by blocks of ``NODE_CLASSES``.
 3. In a bucket, a tree of signatures: a leaf is the bitmap and size of one class, an inner node
    holds the OR of the bitmaps below it and their range of sizes. A dual traversal starts with the
    pair (root, root) and drops a pair of nodes if the largest possible overlap is under what the
@@ -17,7 +21,7 @@ Two texts link when the Jaccard similarity of their sets of n-grams reaches ``th
    with the same few pivots of the bucket. Then the blocks are compared pairwise, without pairs
    that are connected by now: of the largest component only against the rest of the bucket.
 
-The prefix filter needs a lower bound for the n-grams that linked classes share in their sketches.
+The prefix filter and the comparison of sketches need a lower bound for the n-grams that linked classes share in their sketches.
 For sets of at most ``threshold * SKETCH`` it is the exact one. For larger sets it is ``SHARED``:
 the sketch of the union has ``SKETCH`` n-grams, each common with probability of the similarity at
 least; fewer than 20 of 64 are common at 0.75 with a probability of 3e-13.
@@ -39,6 +43,7 @@ from salesloom.llm.storage import cut
 from salesloom.llm.text import grams, hashed_words, mix
 
 SKETCH, SHARED = 64, 20
+PAIRED, NODE_CLASSES = 32, 512
 BLOCK_GRAMS = 1_000_000
 PIVOTS = 16
 SIGNATURE_BITS = 4096
@@ -223,12 +228,56 @@ def _linked(links: DataFrame) -> DataFrame:
     return found.select("node.d1", "node.d2", "component")
 
 
-def _candidates(base: DataFrame, threshold: float) -> DataFrame:
-    """(a, b): pairs of digests; whatever can link is connected by them."""
-    rows = base.filter("sketch is not null").select(
-        "d1", "n", F.size("sketch").alias("k"), F.explode("sketch").alias("gram"))
-    shared = rows.groupBy("gram").agg(F.min("d1").alias("hub"), F.max("d1").alias("other"), F.count("*").alias("df"))
-    shared = shared.filter("hub != other").select("gram", "hub", "df")
+def _sketch_links(threshold: float):
+    """Pairs of classes of a block that may link by their sketches; enough to connect all that such pairs connect."""
+    def run(table: pa.Table) -> pa.Table:
+        keys, sizes = table.column("d1").to_numpy(), table.column("n").to_numpy()
+        roots = np.unique(table.column("component").to_numpy(), return_inverse=True)[1]
+        sketches = table.column("sketch")
+        lengths = np.array([len(x) for x in sketches], dtype=np.int64)
+        _, place, times = np.unique(np.concatenate([x.values.to_numpy() for x in sketches]), return_inverse=True,
+                                    return_counts=True)
+        owner, common = np.repeat(np.arange(len(keys)), lengths), times[place] > 1
+        owner, place = owner[common], (np.cumsum(times > 1) - 1)[place[common]]
+        bits = np.zeros((len(keys), int((times > 1).sum()) // 64 + 1), dtype=np.uint64)
+        np.bitwise_or.at(bits, (owner, place >> 6), np.uint64(1) << (place & 63).astype(np.uint64))
+        found = []
+        for a in range(len(keys) - 1):
+            near = np.minimum(sizes, sizes[a]) >= threshold * np.maximum(sizes, sizes[a]) - 1e-9
+            near[:a + 1] = False
+            rest = np.flatnonzero(near & (roots != roots[a]))
+            both = np.bitwise_count(bits[rest] & bits[a]).sum(axis=1, dtype=np.int64)
+            whole = np.maximum(sizes[rest], sizes[a]) <= SKETCH
+            need = np.where(whole, threshold / (1 + threshold) * (sizes[rest] + sizes[a]) - 1e-9, SHARED)
+            for b in rest[both >= need].tolist():
+                if roots[a] != roots[b]:
+                    roots[roots == roots[b]] = roots[a]
+                    found.append((int(keys[a]), int(keys[b])))
+        return pa.table({name: pa.array([x[k] for x in found], pa.int64()) for k, name in enumerate(("a", "b"))})
+
+    return run
+
+
+def _block_pairs(rows: DataFrame, main: Column, others: Column, blocks: Column) -> DataFrame:
+    """``rows`` for every pair (i, j) of blocks to compare: the rest of a group with itself and with ``main``.
+
+    Blocks 0 to ``others`` - 1 hold the rest, the following ``blocks`` the rows of ``main``.
+    """
+    spot = F.pmod(F.xxhash64("d1", F.lit(1)), blocks).cast("int")
+    mine = F.when(main, others + spot).otherwise(F.pmod(F.xxhash64("d1", F.lit(3)), others).cast("int"))
+    with_rest = F.transform(F.sequence(F.lit(0), others - 1),
+                            lambda k: F.struct(F.least(k, "mine").alias("i"), F.greatest(k, "mine").alias("j")))
+    with_main = F.transform(F.sequence(others, others + blocks - 1),
+                            lambda k: F.struct(F.col("mine").alias("i"), k.alias("j")))
+    return rows.withColumn("mine", mine).withColumn(
+        "pair", F.explode(F.when(main, with_rest).otherwise(F.concat(with_rest, with_main))))
+
+
+def _rare(rows: DataFrame, threshold: float) -> DataFrame:
+    """(d1, n, gram, df): of each class the rarest n-grams of its sketch that other sketches have too."""
+    rows = rows.select("d1", "n", F.explode("sketch").alias("gram"))
+    shared = rows.groupBy("gram").agg(F.min("d1").alias("least"), F.max("d1").alias("other"), F.count("*").alias("df"))
+    shared = shared.filter("least != other").select("gram", "df")
     exact = int(math.floor(threshold * SKETCH))
     need = F.when(F.col("n") <= exact, F.ceil(F.col("n") * threshold)).otherwise(SHARED)
     by_class = Window.partitionBy("d1")
@@ -236,7 +285,39 @@ def _candidates(base: DataFrame, threshold: float) -> DataFrame:
             .withColumn("place", F.row_number().over(by_class.orderBy("df", "gram")))
             .withColumn("shared", F.count("*").over(by_class))
             .filter(F.col("place") <= F.col("shared") - (need - 1)))
-    return rare.filter("d1 != hub").select(F.col("d1").alias("a"), F.col("hub").alias("b")).distinct()
+    return rare.select("d1", "n", "gram", "df")
+
+
+def _candidates(base: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): pairs of digests whose sketches allow a link; whatever can link is connected by them."""
+    rows = base.filter("sketch is not null")
+    rare = cut(_rare(rows, threshold))
+    sketches = cut(rows.join(rare.select("d1").distinct(), "d1", "left_semi").dropDuplicates(["d1"]).select(
+        "d1", "n", "sketch"))
+    a, b = rare.select("gram", "df", F.col("d1").alias("a"), F.col("n").alias("na")), rare.select(
+        "gram", F.col("d1").alias("b"), F.col("n").alias("nb"))
+    near = F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9
+    pairs = a.filter(F.col("df") <= PAIRED).join(b.filter(F.col("df") <= PAIRED), "gram").filter(near).filter(
+        "a < b").select("a", "b")
+    large = rare.filter(F.col("df") > PAIRED)
+    hubs = large.groupBy("gram").agg(F.min("d1").alias("b"))
+    pairs = pairs.unionByName(large.join(hubs, "gram").filter("d1 != b").select(F.col("d1").alias("a"), "b")).distinct()
+    both = pairs.join(sketches.toDF("a", "na", "one"), "a").join(sketches.toDF("b", "nb", "two"), "b")
+    need = F.when(F.greatest("na", "nb") <= SKETCH,
+                  threshold / (1 + threshold) * (F.col("na") + F.col("nb")) - 1e-9).otherwise(SHARED)
+    edges = cut(both.filter(near & (F.size(F.array_intersect("one", "two")) >= need)).select("a", "b"))
+    if large.isEmpty():
+        return edges
+    # Nodes beyond ``PAIRED`` classes: all pairs but those that are in one bucket by now.
+    large = cut(large.select("d1", "gram").join(components(edges).withColumnRenamed("node", "d1"), "d1", "left").withColumn(
+        "component", F.coalesce("component", "d1")))
+    most = large.groupBy("gram", "component").agg(F.count("*").alias("c")).groupBy("gram").agg(
+        F.max_by("component", F.struct("c", "component")).alias("main"), F.max("c").alias("c"),
+        (F.sum("c") - F.max("c")).alias("rest")).filter("rest > 0")
+    mixed = _block_pairs(large.join(most, "gram"), F.col("component") == F.col("main"),
+                         F.ceil(F.col("rest") / NODE_CLASSES).cast("int"), F.ceil(F.col("c") / NODE_CLASSES).cast("int"))
+    mixed = mixed.select("d1", "gram", "component", "pair.i", "pair.j").join(sketches, "d1")
+    return edges.unionByName(cut(mixed.groupBy("gram", "i", "j").applyInArrow(_sketch_links(threshold), "a long, b long")))
 
 
 def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5,
@@ -296,17 +377,7 @@ class _BlockJoin:
         sizes = large.groupBy("bucket", "group").agg(F.sum("n").alias("c"))
         most = sizes.groupBy("bucket").agg(F.max_by("group", F.struct("c", "group")).alias("main"),
                                            (F.sum("c") - F.max("c")).alias("rest")).filter("rest > 0")
-        left = large.join(most, "bucket").withColumn(
-            "others", F.ceil(F.col("rest") / BLOCK_GRAMS).cast("int"))
-        main = F.col("group") == F.col("main")
-        # Blocks 0 to others-1 hold the rest, the following ones the largest component.
-        mine = F.when(main, F.col("others") + spot).otherwise(
-            F.pmod(F.xxhash64("d1", F.lit(3)), F.col("others")).cast("int"))
-        left = left.withColumn("mine", mine)
-        with_rest = F.transform(F.sequence(F.lit(0), F.col("others") - 1),
-                                lambda k: F.struct(F.least(k, "mine").alias("i"), F.greatest(k, "mine").alias("j")))
-        with_main = F.transform(F.sequence(F.col("others"), F.col("others") + F.col("blocks") - 1),
-                                lambda k: F.struct(F.col("mine").alias("i"), k.alias("j")))
-        pairs = left.withColumn("pair", F.explode(F.when(main, with_rest).otherwise(F.concat(with_rest, with_main))))
+        pairs = _block_pairs(large.join(most, "bucket"), F.col("group") == F.col("main"),
+                             F.ceil(F.col("rest") / BLOCK_GRAMS).cast("int"), F.col("blocks"))
         return done.unionByName(self._apply(
             pairs.select("text", "d1", "d2", "bucket", "pair.i", "pair.j", "group").select(*columns)))

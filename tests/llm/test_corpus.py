@@ -133,6 +133,35 @@ def test_op1_repeated_and_null_ids(spark, rows, monkeypatch):
     same(got.collect(), brute_components(rows))
 
 
+def buckets(spark, texts):
+    """Sets of row numbers that ``ngram_join`` puts in one bucket."""
+    rows = spark.createDataFrame([(k, t, k) for k, t in enumerate(texts)], "id long, text string, own long")
+    base = rows.mapInArrow(ngram_join._signatures(5), "id long, n long, d1 long, d2 long, own long, sketch array<long>")
+    found = graph.components(ngram_join._candidates(base, 0.75)).join(base, F.col("node") == F.col("d1"))
+    return sorted(sorted(x.ids) for x in found.groupBy("component").agg(F.collect_set("id").alias("ids")).collect())
+
+
+@pytest.mark.parametrize("paired", [32, 1])
+def test_op1_passages_in_common_do_not_make_a_bucket(spark, monkeypatch, paired):
+    monkeypatch.setattr(ngram_join, "PAIRED", paired)
+    monkeypatch.setattr(ngram_join, "NODE_CLASSES", 3)
+    texts = []
+    for k in range(12):  # three near copies; one of them has seven words in common with one of the next three
+        own, before, after = ([f"{name}x{i}" for i in range(n)] for name, n in ((f"p{k}", 50), (f"c{k}", 7), (f"c{k + 1}", 7)))
+        texts += [" ".join(before + own), " ".join(own), " ".join(own + after)]
+    assert buckets(spark, texts) == [[k, k + 1, k + 2] for k in range(0, 36, 3)]
+
+
+@pytest.mark.parametrize("words", [50, 150])
+def test_op1_large_nodes_keep_what_their_hub_does_not_link(spark, monkeypatch, words):
+    monkeypatch.setattr(ngram_join, "PAIRED", 1)
+    monkeypatch.setattr(ngram_join, "NODE_CLASSES", 2)
+    texts = [" ".join(f"{name}{i}" for i in range(k, k + words)) for name in "abc" for k in range(0, words, words // 10)]
+    rows = list(enumerate(texts))
+    got = ngram_join.ngram_jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"))
+    same(got.collect(), brute_components(rows))
+
+
 def test_tree_links_connect_what_all_pairs_connect():
     rng = np.random.default_rng(1)
     sets = []
